@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 SEGMENT = 256
@@ -180,7 +181,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     two names in ``docs`` are replaced, all others are kept.
     """
     kept = docs.drop("lang_pred", "score")
-    schema = kept.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     broadcast = docs.sparkSession.sparkContext.broadcast(model)  # languages * sample_bytes at most
     at = kept.columns.index(text_col)
 

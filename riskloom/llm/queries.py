@@ -33,10 +33,17 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.jaccard import jaccard_classes
+
+    return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op4_language_id": op4_language_id,
     "op7_sharding": op7_sharding,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
 ORACLES: dict[str, str] = {}
