@@ -17,6 +17,12 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.decontam import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.langid import learn, predict
 
@@ -41,6 +47,7 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
+    "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op7_sharding": op7_sharding,
     "op9_ngram_jaccard": op9_ngram_jaccard,
