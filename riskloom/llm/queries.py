@@ -33,6 +33,15 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.toxicity import learn, score
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    model = learn(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("offending_sentences"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.sharding import shard
 
@@ -49,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
+    "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
