@@ -48,6 +48,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read(spark, sf_dir, "documents"), shards=40)
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.html_extract import extract
+
+    return extract(read(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.jaccard import jaccard_classes
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
     "op7_sharding": op7_sharding,
+    "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 
