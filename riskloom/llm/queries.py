@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import read
+from riskloom.llm.common import read, stash
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("offending_sentences"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.warc import read_archives, write_archives
+
+    archives = stash(write_archives(read(spark, sf_dir, "pages")), "warc")
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "segments", "complete")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.sharding import shard
 
@@ -65,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
     "op5_toxicity": op5_toxicity,
+    "op6_warc": op6_warc,
     "op7_sharding": op7_sharding,
     "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard": op9_ngram_jaccard,
