@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from riskloom.llm.common import read, stash
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.media import media_of_texts
+
+    return media_of_texts(read(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.mixing import plan
 
@@ -67,7 +73,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskloom.llm.secrets import scan
+
+    return scan(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op2_mixing": op2_mixing,
     "op3_decontamination": op3_decontamination,
     "op4_language_id": op4_language_id,
@@ -76,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_html_extraction": op8_html_extraction,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
