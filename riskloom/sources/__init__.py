@@ -1,0 +1 @@
+"""Sources and sinks: landing packages, lineage, versioned snapshots, and the synthetic price source."""
