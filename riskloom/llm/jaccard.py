@@ -70,7 +70,7 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     space = _SPACE[joined]
     before = np.concatenate(([True], space[:-1]))
     starts, ends = np.flatnonzero(~space & before), np.flatnonzero(space & ~before)
-    power, inverse = _powers(len(joined) + 1)
+    power, inverse = _powers(len(joined) + width + 8)
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * power[: len(joined)])))
     words = _mix((sums[ends] - sums[starts]) * inverse[starts])
     offsets = np.concatenate(([0], np.cumsum([len(d) + 1 for d in data]))) if data else np.zeros(1, dtype=np.int64)
