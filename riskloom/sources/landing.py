@@ -6,7 +6,6 @@ import csv
 import hashlib
 import io
 import json
-import re
 from dataclasses import asdict, dataclass
 from pathlib import Path
 
@@ -134,4 +133,22 @@ def ingestion_plan(requests: DataFrame, log: DataFrame) -> DataFrame:
     return rows.withColumn("decision", decision).withColumn("effective_batch_id", effective)
 
 
-IDENTIFIER = re.compile(r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*$")
+def prepare(manifests: list[Manifest], statuses: dict[str, str]) -> list[dict]:
+    """Landing entries approved for publication; ValueError unless all extracts succeeded and their bytes are unchanged."""
+    out = []
+    for m in manifests:
+        if statuses.get(m.dataset_name) != "SUCCEEDED":
+            raise ValueError(f"{m.dataset_name}: the extract did not succeed")
+        again = build_manifest(m.source_object_path, m.dataset_name, m.source_id, m.source_contract_version)
+        if (again.source_sha256, again.source_record_count) != (m.source_sha256, m.source_record_count):
+            raise ValueError(f"{m.dataset_name}: the file has changed since its extract")
+        out.append({**asdict(m), "publication_status": "APPROVED"})
+    return out
+
+
+def one_snapshot(entries: list[dict]) -> str:
+    """The snapshot that all entries share; ValueError if they differ."""
+    found = {e.get("snapshot_sha256") for e in entries}
+    if len(found) != 1 or None in found:
+        raise ValueError("the datasets are of different snapshots")
+    return found.pop()
