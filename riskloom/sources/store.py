@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "_current.json"
+POINTER = "current.json"
 
 
 class SnapshotStore:
@@ -49,7 +49,7 @@ class SnapshotStore:
 
     def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
         """Write new versions of these tables and make them current together."""
-        lock = self._path(f"{self.root}/_lock")
+        lock = self._path(f"{self.root}/lock")
         if not self._fs.createNewFile(lock):
             raise RuntimeError("another writer holds the store")
         try:
@@ -61,7 +61,7 @@ class SnapshotStore:
                     writer = writer.partitionBy(*partition_by[name])
                 writer.parquet(f"{self.root}/{folder}")
                 versions[name] = folder
-            fresh = f"_next-{uuid.uuid4().hex}.json"
+            fresh = f"next-{uuid.uuid4().hex}.json"
             self._write_text(fresh, json.dumps(versions, sort_keys=True))
             current, new = self._path(f"{self.root}/{POINTER}"), self._path(f"{self.root}/{fresh}")
             context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri() if current.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
