@@ -67,7 +67,7 @@ def cash_roll_forward(flows: DataFrame) -> DataFrame:
 
 def market_values(positions: DataFrame) -> DataFrame:
     """signed and absolute market value and side of rows with signed_quantity and close_price."""
-    signed = (F.col("signed_quantity").cast("decimal(18,6)") * F.col("close_price").cast("decimal(18,6)")).cast("decimal(38,12)")
+    signed = (F.col("signed_quantity").cast("decimal(20,8)") * F.col("close_price").cast("decimal(17,8)")).cast("decimal(38,16)")
     side: Column = F.when(F.col("signed_quantity") >= 0, "LONG").otherwise("SHORT")
     return positions.withColumns({"signed_market_value": signed, "absolute_market_value": F.abs(signed), "position_side": side})
 
