@@ -19,12 +19,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near and exact copies the document with the smallest id."""
+    """Of every class of near and exact copies the document with the smallest id; rows without an id stay."""
     from riskloom.llm.jaccard import jaccard_classes
 
     ship(spark)
-    kept = stash(jaccard_classes(docs).where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = stash(jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
