@@ -1,0 +1 @@
+"""Contracts, pipelines and queries."""

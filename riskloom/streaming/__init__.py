@@ -1,0 +1 @@
+"""The domain is end-of-day, so nothing streams yet; corrections that arrive late go through ``operators.resolve``."""
