@@ -279,9 +279,9 @@ def latest_published_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("portfolio_id", F.col("as_of").cast("string").alias("as_of"), "run_id")
 
 
-@query(f"WITH {_RUNS} SELECT run_id, ROW_NUMBER() OVER w AS attempt_number, LAG(run_id) OVER w AS reprocess_of FROM runs WINDOW w AS (PARTITION BY portfolio_id ORDER BY published_at, run_id)")
+@query(f"WITH {_RUNS} SELECT run_id, ROW_NUMBER() OVER w AS attempt_number, CAST(LAG(run_id) OVER w AS VARCHAR) AS reprocess_of FROM runs WINDOW w AS (PARTITION BY portfolio_id ORDER BY published_at, run_id)")
 def attempt_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.attempts(_runs(spark, sf_dir), ["portfolio_id"], ["published_at", "run_id"], "run_id").select("run_id", *_long("attempt_number", "reprocess_of"))
+    return S.attempts(_runs(spark, sf_dir), ["portfolio_id"], ["published_at", "run_id"], "run_id").select("run_id", *_long("attempt_number"), F.col("reprocess_of").cast("string").alias("reprocess_of"))
 
 
 @query(f"WITH {_RUNS} SELECT portfolio_id, CAST(as_of AS VARCHAR) AS as_of, COUNT(*) AS run_count, COUNT(*) = 1 AS is_single FROM runs GROUP BY 1, 2")
