@@ -10,10 +10,11 @@ longest), and every partner still turns up in at least T - L = 1 of the short on
 2. Each document keeps its T - L shortest lists in one global order (length class, then hash). Lists of length
    one are dropped: they have no partner.
 3. The short lists are merged by the shuffle (the cluster's heap merge) into pairs. In every list all documents
-   meet one hub, which is as many pairs as postings; pairs that length or position rule out are dropped.
+   meet a few hubs, which is a few pairs a posting; pairs that length or position rule out are dropped.
 4. A pair's long lists are probed by binary search in the partner's sorted set, which gives the exact overlap.
-5. Links are contracted to classes. Pairs of one list whose classes still differ are then compared in
-   full, so no link between classes is lost.
+5. Links are contracted to classes, and steps 3 and 4 go on with other hubs for the lists that still hold several
+   classes. When few of the pairs with hubs still link, all pairs of different classes that share a list are
+   compared, so no link between classes is lost.
 
 Equal sets are merged before step 2. Nothing but counts reaches the driver.
 """
@@ -246,30 +247,49 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _pairs(postings: DataFrame, threshold: int, rank: int | None) -> DataFrame:
-    """Candidate pairs (a < b) of different classes: with the list's hub, or (rank None) all of each list."""
-    t = threshold / (100.0 + threshold)
-    if rank is None:
-        ends = postings.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
-        mixed = stash(postings.join(ends, "key", "left_semi"), "mixed")
-        left = mixed.select("key", *[F.col(c).alias(f"l_{c}") for c in ("doc", "place", "size", "class")])
-        right = mixed.select("key", *[F.col(c).alias(f"r_{c}") for c in ("doc", "place", "size", "class")])
-        both = left.join(right, (left["key"] == right["key"]) & (F.col("l_doc") < F.col("r_doc")) & (F.col("l_class") != F.col("r_class")) & _fits(t))
-    else:
-        me = F.struct(F.xxhash64(F.lit(rank), "doc").alias("h"), "doc", "place", "size", "class")
-        both = attach(postings, "key", "doc", {"hub": (me, "min")})
-        both = both.select(F.col("doc").alias("l_doc"), F.col("place").alias("l_place"), F.col("size").alias("l_size"), F.col("class").alias("l_class"), *[F.col(f"hub.{c}").alias(f"r_{c}") for c in ("doc", "place", "size", "class")])
-        both = both.where((F.col("l_class") != F.col("r_class")) & _fits(t))
+def _mixed(postings: DataFrame) -> DataFrame:
+    """The lists whose documents are of several classes."""
+    several = postings.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    return stash(postings.join(several, "key", "left_semi"), "mixed")
+
+
+def _hub_pairs(postings: DataFrame, threshold: int, ranks: range) -> DataFrame:
+    """Candidate pairs (a < b) of different classes: every document of a list with its hubs, one for each rank.
+
+    Hubs of even rank come from the documents with the fewest rarer shingles, which are the likely originals of
+    near copies; all others are drawn from the whole list.
+    """
+    hubs = {}
+    for k in ranks:
+        rare = F.floor(F.col("place") * 32 / F.col("size")) if k % 2 == 0 else F.lit(0).cast("long")
+        hubs[f"hub{k}"] = (F.struct(rare.alias("r"), F.xxhash64(F.lit(k), "doc").alias("h"), *_POSTING), "min")
+    rows = attach(postings.select("key", *_POSTING), "key", "doc", hubs).select(*[F.col(c).alias(f"l_{c}") for c in _POSTING], F.array_distinct(F.array(*[F.col(h).dropFields("r", "h") for h in hubs])).alias("hubs"))
+    fit = F.filter("hubs", lambda h: (h["class"] != F.col("l_class")) & _fits(threshold, h["size"], h["place"]))
+    return _named(rows.select("l_doc", F.explode(F.transform(fit, lambda h: h["doc"])).alias("r_doc")))
+
+
+def _list_pairs(postings: DataFrame, threshold: int) -> DataFrame:
+    """All pairs of different classes that share a list."""
+    left = postings.select("key", *[F.col(c).alias(f"l_{c}") for c in _POSTING])
+    right = postings.select("key", *[F.col(c).alias(f"r_{c}") for c in _POSTING])
+    return _named(left.join(right, (left["key"] == right["key"]) & (F.col("l_doc") < F.col("r_doc")) & (F.col("l_class") != F.col("r_class")) & _fits(threshold, F.col("r_size"), F.col("r_place"))))
+
+
+_POSTING = ("doc", "place", "size", "class")
+
+
+def _named(both: DataFrame) -> DataFrame:
     return both.select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
 
 
-def _fits(t: float):
+def _fits(threshold: int, r_size, r_place):
     """What is left of both sets from the shared place on must hold the overlap that their sizes require."""
-    left = F.least(F.col("l_size") - F.col("l_place"), F.col("r_size") - F.col("r_place"))
-    return left >= F.ceil((F.col("l_size") + F.col("r_size")) * F.lit(t) - F.lit(1e-9))
+    t = threshold / (100.0 + threshold)
+    left = F.least(F.col("l_size") - F.col("l_place"), r_size - r_place)
+    return left >= F.ceil((F.col("l_size") + r_size) * F.lit(t) - F.lit(1e-9))
 
 
-def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = WIDTH, hub_rounds: int = 2) -> DataFrame:
+def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = WIDTH, hubs: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest id reachable by links.
 
     Null and empty texts have no shingles and stay alone. Ids should be integers; rows that repeat an id are
@@ -288,20 +308,26 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = held.select(F.col("doc_id").alias("doc"), "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select("doc", "size", F.col("z.keys").alias("key"), F.col("z.places").alias("place")).distinct()
     shared = attach(lists.withColumn("one", F.lit(1)), "key", "doc", {"__n": (F.col("one"), "sum")}).where("__n > 1").drop("__n", "one")
     postings = stash(shared.withColumn("class", F.col("doc")), "postings")
-    members = sets.where(F.col("keys").isNotNull()).select(F.col("doc_id").alias("doc"), "members").dropDuplicates(["doc"])
+    members = sets.where(F.col("keys").isNotNull()).select(F.col("doc_id").alias("doc"), "members")
 
-    links = None
-    for rank in [*range(hub_rounds), None]:
-        pairs = _pairs(postings, threshold, rank)
+    links, rank, last = None, 0, False
+    while True:
+        lists = _mixed(postings) if rank else postings
+        count = hubs if rank else 1
+        pairs = stash(_list_pairs(lists, threshold) if last else _hub_pairs(lists, threshold, range(rank, rank + count)), "pairs")
+        rank += count
         full = pairs.join(members.withColumnRenamed("doc", "a").withColumnRenamed("members", "x"), "a").join(members.withColumnRenamed("doc", "b").withColumnRenamed("members", "y"), "b")
         found = stash(full.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"), "found")
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            continue
-        roots = components(links)
-        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if rank is not None:
-            joined = postings.drop("class").join(roots, F.col("doc") == F.col("node"), "left")
-            postings = stash(joined.withColumn("class", F.coalesce("root", "doc")).drop("node", "root"), "postings")
+        grew = found.count()
+        if grew:
+            roots = components(links)
+            links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            if not last:
+                joined = postings.drop("class").join(roots, F.col("doc") == F.col("node"), "left")
+                postings = stash(joined.withColumn("class", F.coalesce("root", "doc")).drop("node", "root"), "postings")
+        if last:
+            break
+        last = 4 * grew <= pairs.count()  # hubs link few of what they meet: the rest is compared in full
     out = firsts.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("first") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "first").alias("component_id"))
