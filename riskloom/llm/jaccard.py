@@ -94,6 +94,16 @@ def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray
     return out
 
 
+def _counted(width: int):
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(s) for s in shingle_sets(batch.column(1).to_pylist(), width)]
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(sizes, pa.int64()), none], names=["doc_id", "n_shingles", "component_id"])
+
+    return counted
+
+
 def linked(overlap: int, a: int, b: int, threshold: int = 75) -> bool:
     """Whether sets of a and b members that share ``overlap`` link."""
     return a > 0 and b > 0 and 100 * overlap >= threshold * (a + b - overlap)
@@ -292,11 +302,12 @@ def _fits(threshold: int, r_size, r_place):
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, width: int = WIDTH, hubs: int = 8) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles and component_id, the smallest id reachable by links.
 
-    Null and empty texts have no shingles and stay alone. Ids should be integers; rows that repeat an id are
-    one document's copies and get the same class, if their texts link. Texts are read whole whatever their
-    length; extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no shingles and stay alone. Ids should be integers; rows without one link with
+    nothing and get no class; rows that repeat an id are copies of one document and share its class. Texts are
+    read whole whatever their length; extra columns are ignored; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, nameless = given.where("doc_id is not null"), given.where("doc_id is null").mapInArrow(_counted(width), "doc_id long, n_shingles long, component_id long")
     bits = max(6, min(13, (max(1, docs.count()) // 2000).bit_length()))
     packed = rows.mapInArrow(_pack(bits, width), _PACKED)
     ranked = packed.groupBy("bucket").applyInPandas(_lengths, _PACKED + ", classes binary")
@@ -330,4 +341,4 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = 4 * grew <= pairs.count()  # hubs link few of what they meet: the rest is compared in full
     out = firsts.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), F.col("first") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "first").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("root", "first").alias("component_id")).unionByName(nameless)

@@ -87,6 +87,14 @@ def test_chain_and_large_group(make_docs):
     check(make_docs, rows)
 
 
+def test_rows_without_id_and_repeated_ids(make_docs, mixed_rows):
+    got = jaccard_classes(make_docs(mixed_rows)).collect()
+    assert len(got) == len(mixed_rows)
+    assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(1, None)]
+    named = [r for r in mixed_rows if r[0] is not None]
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == brute(named)
+
+
 def test_empty_table(make_docs):
     assert jaccard_classes(make_docs([])).count() == 0
 
