@@ -103,12 +103,12 @@ class Automaton:
         counts = np.maximum(-(-sizes // SEGMENT), 1)
         first = np.concatenate(([0], np.cumsum(counts)))
         padded = b"".join(t.translate(self.code).ljust(n * SEGMENT, b"\0") for t, n in zip(texts, counts.tolist(), strict=True))
-        columns = np.ascontiguousarray(np.frombuffer(padded, dtype=np.uint8).reshape(-1, SEGMENT).T).astype(np.int32)
+        columns = np.ascontiguousarray(np.frombuffer(padded, dtype=np.uint8).reshape(-1, SEGMENT).T)
         state = np.zeros(columns.shape[1], dtype=np.int32)
-        found = np.zeros_like(state)
+        found, at = np.zeros_like(state), np.zeros_like(state)
         for c in columns:
-            c += state
-            np.take(self.table, c, out=state)
+            np.add(state, c, out=at)
+            np.take(self.table, at, out=state)
             found -= state >> 31
             np.abs(state, out=state)
         return np.add.reduceat(found, first[:-1]) if len(texts) else found
@@ -187,7 +187,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = identify(batch.column(at).to_pylist(), broadcast.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
+            for k in range(0, batch.num_rows, 1024):  # a worker holds the tables of few texts at once
+                part = batch.slice(k, 1024)
+                lang, score = identify(part.column(at).to_pylist(), broadcast.value)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 
     return kept.mapInArrow(run, schema)
