@@ -123,6 +123,19 @@ def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield ids, texts
 
 
+def _parts(texts: list, size: int = 1 << 20) -> Iterator[list]:
+    """Runs of texts of about ``size`` characters; hashing needs some forty bytes a character while it works."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t or "")
+        if held >= size:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 _PACKED = "chunk long, bucket int, docs binary, counts binary, hashes binary"
 
 
@@ -131,7 +144,7 @@ def _pack(bits: int, width: int):
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, (ids, texts) in enumerate(_chunks(batches)):
-            sets = shingle_sets(texts, width)
+            sets = [x for part in _parts(texts) for x in shingle_sets(part, width)]
             sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             every = np.concatenate(sets)
             bucket = (every >> np.uint64(64 - bits)).astype(np.uint16)
