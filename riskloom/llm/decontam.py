@@ -291,6 +291,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), te
     return docs
 
 
-def _bounded(batch: pa.RecordBatch, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
     for k in range(0, batch.num_rows, rows):
         yield batch.slice(k, rows)
