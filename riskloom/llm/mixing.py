@@ -5,7 +5,8 @@ drawn twice in full and once for the blocks that make up the rest; the last, par
 document by document. The counts of block draws per source are split among the output shards by recursive
 multivariate-hypergeometric draws: the counts of each node are divided in two as if the draws had been
 shuffled, so every shard's share is exact in total and random in make-up. Each leaf then owns a run of its
-sources' permuted blocks, disjoint from all other leaves', and rows are shuffled inside their shard by hash.
+sources' permuted blocks, disjoint from all other leaves'. ``mix`` deals the copies to one partition a shard and
+shuffles them there by a seeded hash of id, copy and text, so copies of a document don't stay side by side.
 
 Only three bounded things reach the driver: one row per source, ``max_blocks`` block sizes, and the tree.
 """
@@ -175,8 +176,13 @@ def plan(docs: DataFrame, config: MixConfig = MixConfig(), id_col: str = "doc_id
 
 
 def mix(docs: DataFrame, config: MixConfig = MixConfig(), id_col: str = "doc_id") -> DataFrame:
-    """The mixed rows themselves: the columns of ``docs``, each row as often as it is taken (never, for some)."""
+    """The mixed rows themselves: the columns of ``docs``, each row as often as it is taken (never, for some).
+
+    Partition k holds the copies dealt to shard k, in the order of a seeded hash, so written files keep the mix.
+    """
     drawn = plan(docs, config, id_col).where(F.col("copies") > 0)
     drawn = drawn.groupBy(F.col(id_col).alias("__mid"), F.col("source").alias("__msrc")).agg(F.first("shards").alias("__mshards"))
     out = docs.join(drawn, F.col(id_col).eqNullSafe(F.col("__mid")) & F.col("source").cast("string").eqNullSafe(F.col("__msrc")))
-    return out.withColumn("__copy", F.explode("__mshards")).select(*docs.columns)
+    out = out.select(*docs.columns, F.posexplode("__mshards").alias("__copy", "__shard"))
+    out = out.withColumn("__order", F.xxhash64(F.lit(config.seed), F.col(id_col), F.col("__copy"), F.col("text")))
+    return out.repartitionById(config.shards, "__shard").sortWithinPartitions("__order").select(*docs.columns)

@@ -20,7 +20,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.mixing import plan
 
     out = plan(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,32 @@ def test_mix_repeats_rows_as_planned(make_docs, mixed_rows):
     assert out == Counter({i: c for i, c in copies.items() if c})
 
 
+def test_mix_deals_rows_to_their_shards_and_shuffles_them(spark, make_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"word {i} " * 5, "en", "hot" if i % 10 else "rare") for i in range(600)]
+    docs, config = make_docs(rows), MixConfig(shards=4, block_docs=8)
+    dealt = Counter((s, r.doc_id) for r in plan(docs, config).collect() for s in r.shards)
+    got = mix(docs, config).select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    assert Counter((r.p, r.doc_id) for r in got) == dealt and {s for s, _ in dealt} == {0, 1, 2, 3}
+    for shard in range(4):
+        ids = [r.doc_id for r in got if r.p == shard]
+        assert ids != sorted(ids)
+        assert sum(a == b for a, b in zip(ids, ids[1:])) <= 0.2 * (len(ids) - len(set(ids)))
+        assert all(len({i % 10 == 0 for i in half}) == 2 for half in (ids[: len(ids) // 2], ids[len(ids) // 2 :]))  # no source is at one end
+    assert len({(r.p, r.doc_id) for r in got}) < len(got)  # some shard holds two copies of a document
+    mix(docs, config).write.parquet(str(tmp_path / "mixed"))
+    files = [[r.doc_id for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "mixed").glob("part-*"))]
+    assert files == [[r.doc_id for r in got if r.p == shard] for shard in range(4)]
+
+
+def test_query_returns_the_shards(spark):
+    from riskloom.llm.queries import op2_mixing
+
+    got = op2_mixing(spark, "/root/testdata/sf0.001").collect()
+    assert got and all(len(r.shards) == r.copies for r in got)
+
+
 def test_empty_table(make_docs):
     assert plan(make_docs([])).count() == 0
     assert mix(make_docs([])).count() == 0
