@@ -16,6 +16,7 @@ answer (the last line or sentence) stand in the passage.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -77,13 +78,37 @@ class Index:
     stride: int = 1
 
 
-def build(items: list[tuple[int, str]], rules: Rules = Rules()) -> Index:
+@dataclass
+class Totals:
+    """What scores and passages take from the whole benchmark, whatever its slices; df may be cut to a slice's terms."""
+
+    n: int = 0
+    words: int = 0
+    longest: int = 0
+    df: Counter[bytes] = field(default_factory=Counter)
+
+    def add(self, tokens: list[bytes]) -> None:
+        if tokens:
+            self.n += 1
+            self.words += len(tokens)
+            self.longest = max(self.longest, len(tokens))
+            self.df.update(set(tokens))
+
+    def cut(self, items: list[tuple[int, str]]) -> Totals:
+        own = {t for _, text in items for t in words(text)}
+        return Totals(self.n, self.words, self.longest, Counter({t: self.df[t] for t in sorted(own)}))
+
+
+def build(items: list[tuple[int, str]], rules: Rules = Rules(), totals: Totals | None = None) -> Index:
+    """``totals`` are those of the whole benchmark where ``items`` are a slice of it."""
     tokens = [(i, words(t), question_and_answer(t or "")) for i, t in sorted(items, key=lambda x: (x[0], x[1] or ""))]
     tokens = [x for x in tokens if x[1]]
     index = Index([i for i, _, _ in tokens], [tuple((shingles(x, w), w) for x in qa if (w := min(rules.width, len(x)))) for _, _, qa in tokens], rules)
-    n = len(tokens)
-    mean = sum(len(w) for _, w, _ in tokens) / max(1, n)
-    df = Counter(t for _, w, _ in tokens for t in set(w))
+    if totals is None:
+        totals = Totals()
+        for _, w, _ in tokens:
+            totals.add(w)
+    n, df, mean = totals.n, totals.df, totals.words / max(1, totals.n)
     lists: dict[bytes, list[tuple[int, float]]] = {}
     for k, (_, w, _) in enumerate(tokens):
         weight = {t: np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (rules.k1 + 1) / (tf + rules.k1 * (1 - rules.b + rules.b * len(w) / mean)) for t, tf in Counter(w).items()}
@@ -96,7 +121,7 @@ def build(items: list[tuple[int, str]], rules: Rules = Rules()) -> Index:
         index.items.append([k for k, _ in lists[t]])
         index.impacts.append(impacts)
         index.blocks.append([max(impacts[a : a + BLOCK]) for a in range(0, len(impacts), BLOCK)])
-    index.stride = max([rules.min_window, *(len(w) for _, w, _ in tokens)])
+    index.stride = max(rules.min_window, totals.longest)
     return index
 
 
@@ -224,25 +249,43 @@ class Searcher:
 _READY: dict[str, Searcher] = {}
 
 
-def _searcher(items: list[tuple[int, str]], rules: Rules, name: str) -> Searcher:
-    """Built once in each Python worker."""
+@dataclass
+class Slice:
+    """Items of bounded size, which get an index of their own; the key tells slices apart by what is in them."""
+
+    items: list[tuple[int, str]]
+    totals: Totals
+    key: str
+
+
+def _searcher(part: Slice, rules: Rules) -> Searcher:
+    """Built once in each Python worker for equal slices and rules."""
+    name = f"{part.key} {rules}"
     if name not in _READY:
         if len(_READY) > 4:
             _READY.clear()
-        _READY[name] = Searcher(build(items, rules))
+        _READY[name] = Searcher(build(part.items, rules, part.totals))
     return _READY[name]
 
 
-def _slices(benchmark: DataFrame, rules: Rules, item_col: str, text_col: str) -> list[list[tuple[int, str]]]:
-    """The items in slices of bounded size; each slice gets an index of its own."""
-    out, size = [[]], 0
+def _slices(benchmark: DataFrame, rules: Rules, item_col: str, text_col: str) -> list[Slice]:
+    """The items in slices of bounded size; all are scored by the totals of the whole benchmark."""
+    out, size, totals = [[]], 0, Totals()
     for r in benchmark.where(F.length(text_col) > 0).select(item_col, text_col).toLocalIterator():
         if size > rules.slice_bytes:
             out.append([])
             size = 0
         out[-1].append((r[0], r[1]))
         size += len(r[1])
-    return out
+        totals.add(words(r[1]))
+    return [_slice(items, totals.cut(items)) for items in out]
+
+
+def _slice(items: list[tuple[int, str]], totals: Totals) -> Slice:
+    key = hashlib.sha256()
+    for x in (totals.n, totals.words, totals.longest, *sorted(totals.df.items()), *items):
+        key.update(f"{x!r}\n".encode("utf-8", "surrogatepass"))
+    return Slice(items, totals, key.hexdigest())
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -255,11 +298,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), id
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, item_id long, score double, question_overlap double, answer_overlap double"
     out = None
-    for items in _slices(benchmark, rules, item_col, "text"):
-        held = docs.sparkSession.sparkContext.broadcast(items)  # slice_bytes at most, and one item
+    for own in _slices(benchmark, rules, item_col, "text"):
+        held = docs.sparkSession.sparkContext.broadcast(own)  # slice_bytes at most, and one item
 
         def search(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(held.value, rules, f"{id(held.value)}")
+            searcher = _searcher(held.value, rules)
             for batch in batches:
                 for part in _bounded(batch):
                     leaks = searcher.leaks(part.column(1).to_pylist())
@@ -278,11 +321,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), id
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of ``docs`` without any leaked item, in one pass over them per benchmark slice."""
     at = docs.columns.index(text_col)
-    for items in _slices(benchmark, rules, item_col, "text"):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+    for own in _slices(benchmark, rules, item_col, "text"):
+        held = docs.sparkSession.sparkContext.broadcast(own)
 
         def keep(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            searcher = _searcher(held.value, rules, f"{id(held.value)}")
+            searcher = _searcher(held.value, rules)
             for batch in batches:
                 for part in _bounded(batch):
                     yield part.filter(pa.array([not x for x in searcher.leaks(part.column(at).to_pylist())], pa.bool_()))

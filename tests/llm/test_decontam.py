@@ -60,3 +60,24 @@ def test_frames(spark, make_docs, mixed_rows):
     assert find_leaks(make_docs([]), bench).count() == 0
     sliced = find_leaks(docs, bench, Rules(slice_bytes=10))
     assert {(r.doc_id, r.item_id) for r in sliced.collect()} == {(900, 1), (902, 1)}
+
+
+def test_slices_score_as_the_whole_benchmark(spark, make_docs):
+    rng, text, items = corpus(seed=9, n=30)
+    bench = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    part = lambda t: " ".join(w for k, w in enumerate(t.split()) if k != 1)  # noqa: E731  # a score below 1 depends on idf
+    docs = make_docs([(d, f"{text(30)} {part(items[d % 30][1])} {text(30)}", "en", "s") for d in range(60)], extra=False)
+    whole, sliced = ({(r.doc_id, r.item_id): r.score for r in find_leaks(docs, bench, rules).collect()} for rules in (Rules(), Rules(slice_bytes=300)))
+    assert len(whole) >= 40 and min(whole.values()) < 1 and whole.keys() == sliced.keys()
+    assert all(abs(x - sliced[k]) < 1e-12 for k, x in whole.items())
+
+
+def test_no_searcher_is_reused_for_other_items(monkeypatch):
+    from riskloom.llm import decontam
+
+    monkeypatch.setattr(decontam, "id", lambda x: 1, raising=False)  # as if every list had the address of the one before
+    parts = [decontam._slice([(k, f"item {k} alpha beta gamma delta")], decontam.Totals(1, 6, 6)) for k in (1, 2, 1)]
+    a, b, c = (decontam._searcher(p, Rules()) for p in parts)
+    assert a.index.ids == [1] and b.index.ids == [2] and c is a
+    assert decontam._searcher(parts[0], Rules(width=2)) is not a
+    assert decontam._slice(parts[0].items, decontam.Totals(2, 12, 6)).key != parts[0].key
