@@ -3,10 +3,11 @@
 The page is read once as a stream of standard-library parser events and cut into lines at the ends and starts of block elements.
 Every line has a text-to-tag ratio: its characters outside links over its tags (1 at least). The ratios are
 smoothed with a Gaussian kernel, and runs of lines above the threshold (the standard deviation of the smoothed
-ratios) are clusters. The containers (``article``, ``main``, or else the block that holds the lines) whose
-clusters carry the most text are the content; their lines are kept whole, short ones too, save for the lines inside
-elements that mark themselves as something else: menus, headers and footers, sidebars, notices, adverts,
-forms, scripts, styles and comments.
+ratios) are clusters. All outermost ``article`` and ``main`` elements are the content, or, where they hold less of the
+clusters' text than the rest of the page, the block that holds them, all clusters and all headings. Its lines are kept
+whole, short ones too, save for the lines inside elements that mark themselves as something else: menus, headers and
+footers, sidebars, notices, adverts, forms, scripts, styles and comments. Outside the containers, lines of nothing but
+links that are no paragraph or heading are menus too.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _BLOCK = frozenset(
 )
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTAINER = frozenset("article main".split())
+#: Blocks of prose, which are no menus even where all their text is linked.
+_PROSE = _HEADING | frozenset("p blockquote pre dd figcaption".split())
 #: An open <p> ends where one of these starts.
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 _HINT = re.compile(
@@ -52,8 +55,10 @@ class Line:
     linked: int = 0
     aside: bool = False
     path: tuple[int, ...] = ()  # numbers of the open block elements, outermost first
-    container: int = -1
+    container: int = -1  # the outermost article or main
     heading: bool = False
+    title: bool = False
+    prose: bool = False
 
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
@@ -77,8 +82,9 @@ class _Reader(HTMLParser):
         else:
             tags = self.line.tags
         blocks = [(t, n) for t, _, n in self.open if t in _BLOCK]
-        inner = [n for t, n in blocks if t in _CONTAINER]
-        self.line = Line(tags=tags, aside=any(a for _, a, _ in self.open), path=tuple(n for _, n in blocks), container=inner[-1] if inner else -1, heading=any(t in _HEADING for t, _ in blocks))
+        outer = [n for t, n in blocks if t in _CONTAINER]
+        self.line = Line(tags=tags, aside=any(a for _, a, _ in self.open), path=tuple(n for _, n in blocks), container=outer[0] if outer else -1, heading=any(t in _HEADING for t, _ in blocks))
+        self.line.title, self.line.prose = any(t == "h1" for t, _ in blocks), any(t in _PROSE for t, _ in blocks)
 
     def _sets_aside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in _ASIDE:
@@ -180,11 +186,15 @@ def clusters(ratios: list[float]) -> list[bool]:
     if not ratios:
         return []
     flat = smooth(ratios)
-    mean = sum(flat) / len(flat)
-    threshold = math.sqrt(sum((v - mean) ** 2 for v in flat) / len(flat))
+    threshold = deviation(flat)
     return [v >= threshold for v in flat]
 
 
+def deviation(values: list[float]) -> float:
+    mean = sum(values) / len(values)
+    return math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by an empty line; empty if there is none."""
     if not html:
@@ -195,38 +205,31 @@ def main_text(html: str | None) -> str:
     texts = [x.text() for x in own]
     ratios = [max(0, len(t) - x.linked) / max(1, x.tags) for t, x in zip(texts, own, strict=True)]
     chosen = clusters(ratios)
-    if any(x.container >= 0 for x in own):
-        mass: dict[int, float] = {}
-        for x, t, c in zip(own, texts, chosen, strict=True):
-            if x.container >= 0:
-                mass[x.container] = mass.get(x.container, 0.0) + (len(t) if c else 0.01 * len(t))
-        most = max(mass.values())
-        kept = {k for k, v in mass.items() if v >= 0.25 * most}
-        keep = [x.container in kept for x in own]
+    marked = [x.container >= 0 for x in own]
+    mass = [0, 0]
+    for t, c, m in zip(texts, chosen, marked, strict=True):
+        mass[m] += len(t) if c else 0
+    if any(marked) and mass[1] >= mass[0]:
+        # a title in front of the containers is theirs if they have none
+        titled = any(x.title for x, m in zip(own, marked, strict=True) if m)
+        keep = [m or (x.title and not titled) for x, m in zip(own, marked, strict=True)]
     else:
-        root = _root(own, texts, chosen)
-        keep = [root in x.path or root == 0 for x in own]
-        # outside a marked article, lines that are nothing but links are menus
-        keep = [k and not (x.linked >= 0.8 * len(t)) for k, x, t in zip(keep, own, texts, strict=True)]
+        # lines that are in a cluster by their neighbours alone may be menus beside it
+        least = deviation(smooth(ratios))
+        root = _root([x for x, c, r, m in zip(own, chosen, ratios, marked, strict=True) if (c and r >= least) or m or x.heading])
+        keep = [m or ((root in x.path or root == 0) and (x.prose or x.linked < 0.8 * len(t))) for x, t, m in zip(own, texts, marked, strict=True)]
     return "\n\n".join(t for t, k in zip(texts, keep, strict=True) if k)
 
 
-def _root(own: list[Line], texts: list[str], chosen: list[bool]) -> int:
-    """The smallest block element that holds nine tenths of the clusters' text; 0 for the page."""
-    total = sum(len(t) for t, c in zip(texts, chosen, strict=True) if c)
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    for x, t, c in zip(own, texts, chosen, strict=True):
-        for d, n in enumerate(x.path):
-            depth[n] = d
-            held[n] = held.get(n, 0) + (len(t) if c else 0)
-    fit = [n for n, v in held.items() if total and v >= 0.9 * total]
-    many = sum(chosen) > 1
-    deep = sorted(fit, key=lambda n: (depth[n], n))
-    if not deep:
-        return 0
-    # a single long block stands for its parent, whose other blocks belong to it
-    return deep[-1] if many or len(deep) < 2 else deep[-2]
+def _root(held: list[Line]) -> int:
+    """The smallest block element that holds all these lines; 0 for the page."""
+    shared = held[0].path if held else ()
+    for x in held[1:]:
+        n = next((k for k, (a, b) in enumerate(zip(shared, x.path, strict=False)) if a != b), min(len(shared), len(x.path)))
+        shared = shared[:n]
+    if len({x.path for x in held}) < 2:
+        shared = shared[: max(1, len(shared) - 1)]  # a single block stands for its parent, whose other blocks belong to it
+    return shared[-1] if shared else 0
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

@@ -22,6 +22,26 @@ def test_page_without_article_element():
     assert got[0] == "Head" and got[-1] == "End." and len(got) == 7
 
 
+LONG = "".join(f"<p>Paragraph {k} has enough words in it to be taken for the text of the page.</p>" for k in range(9))
+
+
+def test_all_lines_of_all_containers():
+    parts = lambda html: [t for t in main_text(html).split("\n\n") if not t.startswith("Paragraph")]
+    assert parts(f"<body><article>{LONG}</article><article><p>A short one.</p></article></body>") == ["A short one."]
+    assert parts(f"<main><h1>Title</h1><p>The lead.</p><article>{LONG}</article><p>The end.</p></main>") == ["Title", "The lead.", "The end."]
+    assert parts(f"<body><h1>Title</h1><div>Site</div><article>{LONG}</article></body>") == ["Title"]
+    assert len(main_text(f"<body><div>{LONG}</div><article><p>Teaser.</p></article></body>").split("\n\n")) == 10
+
+
+def test_root_holds_headings_and_all_clusters():
+    parts = lambda html: [t for t in main_text(html).split("\n\n") if not t.startswith("Paragraph")]
+    assert parts(f"<body><div><h1>Title</h1><div class=body>{LONG}</div></div><div><a href=1>Home</a></div></body>") == ["Title"]
+    assert parts(f"<body><div>Slogan</div><div><a href=1>Home</a></div><div>{LONG}<p>End.</p></div><div>Small print</div></body>") == ["End."]
+    late = "A late section of its own with a sentence that is long enough to be a cluster."
+    assert parts(f"<body><div><div>{LONG * 3}</div><div><p>{late}</p></div></div></body>") == [late]
+    assert parts(f"<body><div><ul><li><a href=1>Menu</a></ul>{LONG}<p><a href=2>A paragraph that is all link.</a></p></div></body>") == ["A paragraph that is all link."]
+
+
 def test_defined_results():
     assert main_text(None) == main_text("") == main_text("<nav>only a menu</nav>") == ""
     assert main_text("<article><p>cut off in a tag<p>next</p><scr") == "cut off in a tag\n\nnext"
