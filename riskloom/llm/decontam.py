@@ -11,7 +11,8 @@ Retrieval has two steps that both only discard what cannot reach the threshold:
    and blocks whose maxima don't add up are skipped.
 
 A retrieved pair counts as a leak when enough of the shingles of the item's question and, if it has one, of its
-answer (the last line or sentence) stand in the passage.
+answer (the last line or sentence) stand in the passage, or most of the shingles of the whole item do. Shingles of
+answers of less than two widths are shorter (of at most a quarter of the words), so that one changed word doesn't undo all.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 0x80 or chr(b).isalnum() e
 
 @dataclass(frozen=True)
 class Rules:
-    """threshold: share of the item's own score; the overlaps: shares of shingles of ``width`` words."""
+    """threshold: share of the item's own score; the overlaps: shares of shingles of ``width`` words, item_overlap of the whole item."""
 
     threshold: float = 0.5
     question_overlap: float = 0.5
@@ -43,6 +44,10 @@ class Rules:
     k1: float = 1.2
     b: float = 0.75
     slice_bytes: int = 16 << 20
+    item_overlap: float = 0.75
+
+    def answer_width(self, n: int) -> int:
+        return self.width if n >= 2 * self.width else min(self.width, max(1, n // 4))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -71,6 +76,7 @@ class Index:
     ids: list[int]
     parts: list[tuple[tuple[set, int], ...]]  # of each item the shingles, and their width, of question and answer
     rules: Rules
+    texts: list[list[bytes]]  # of each item the words
     terms: dict[bytes, int] = field(default_factory=dict)
     items: list[list[int]] = field(default_factory=list)  # of each term, ascending
     impacts: list[list[float]] = field(default_factory=list)
@@ -103,7 +109,11 @@ def build(items: list[tuple[int, str]], rules: Rules = Rules(), totals: Totals |
     """``totals`` are those of the whole benchmark where ``items`` are a slice of it."""
     tokens = [(i, words(t), question_and_answer(t or "")) for i, t in sorted(items, key=lambda x: (x[0], x[1] or ""))]
     tokens = [x for x in tokens if x[1]]
-    index = Index([i for i, _, _ in tokens], [tuple((shingles(x, w), w) for x in qa if (w := min(rules.width, len(x)))) for _, _, qa in tokens], rules)
+    parts = []
+    for _, _, (q, a) in tokens:
+        widths = ((q, min(rules.width, len(q))), (a, rules.answer_width(len(a)) if a else 0))
+        parts.append(tuple((shingles(x, w), w) for x, w in widths if w))
+    index = Index([i for i, _, _ in tokens], parts, rules, [w for _, w, _ in tokens])
     if totals is None:
         totals = Totals()
         for _, w, _ in tokens:
@@ -200,6 +210,13 @@ class Searcher:
         # a term number of the vocabulary, or one past it for words that no item has
         self.unknown = len(index.items)
 
+    def _whole(self, k: int, passage: list[bytes]) -> float:
+        """The share of the shingles of the whole item that stand in the passage."""
+        own = self.index.texts[k]
+        width = min(self.index.rules.width, len(own))
+        part = shingles(own, width)
+        return len(part & shingles(passage, width)) / len(part)
+
     def leaks(self, texts: list[str | None]) -> list[list[tuple[int, float, float, float]]]:
         """Of each text: (item id, score, question overlap, answer overlap) of the best passage of each leaked item."""
         index, rules, stride, n = self.index, self.index.rules, self.index.stride, len(self.index.ids)
@@ -235,7 +252,7 @@ class Searcher:
             query = {get(w, unknown) for w in passage} - {unknown}
             for k, score in block_max_wand(index, query, rules.threshold):
                 q, a = ([*(len(part & shingles(passage, width)) / len(part) for part, width in index.parts[k]), 1.0])[:2]
-                if q >= rules.question_overlap and a >= rules.answer_overlap:
+                if (q >= rules.question_overlap and a >= rules.answer_overlap) or self._whole(k, passage) >= rules.item_overlap:
                     found[d].append((index.ids[k], score, q, a))
         for d, own in enumerate(found):
             best: dict[int, tuple[int, float, float, float]] = {}

@@ -81,3 +81,14 @@ def test_no_searcher_is_reused_for_other_items(monkeypatch):
     assert a.index.ids == [1] and b.index.ids == [2] and c is a
     assert decontam._searcher(parts[0], Rules(width=2)) is not a
     assert decontam._slice(parts[0].items, decontam.Totals(2, 12, 6)).key != parts[0].key
+
+
+def test_short_answers_that_are_cut_or_changed():
+    question = " ".join(f"q{k}" for k in range(16))
+    searcher = Searcher(build([(1, f"{question}. alpha beta gamma delta."), (2, " ".join(f"z{k}" for k in range(9)) + ". alpha.")]))
+    found = lambda t: [x[0] for x in searcher.leaks([f"some words {t} other words"])[0]]
+    assert found(f"{question} alpha beta changed delta") == [1]
+    assert found(f"{question} alpha beta") == [1] and found(question) == [1]  # 12 of the 16 shingles
+    assert found(" ".join(question.split()[:11]) + " none of it") == []  # less of the question, and no answer
+    assert found(" ".join(question.split()[4:]) + " alpha changed gamma delta") == [1]
+    assert found("alpha beta gamma delta") == []
