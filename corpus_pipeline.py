@@ -18,13 +18,41 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: the id where it tells a text, and a number from the text where the id is null or has several.
+
+    These numbers are larger than any id below 2^62, so that rows with an id come first. Rows share a number if
+    they have the same id and text, or the same text and no id of their own.
+    """
+    forms = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__odd")).agg(F.min(F.xxhash64("text")).alias("__least"), F.max(F.xxhash64("text")).alias("__most"))
+    odd = stash(forms.where("__least <> __most").select("__odd", "__least"), "odd-ids")
+    of_text = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    if odd.isEmpty():
+        return docs.withColumn("__row", F.coalesce(F.col("doc_id"), of_text))
+    other = F.col("doc_id").isNull() | (F.col("__least").isNotNull() & (F.col("__least") != F.xxhash64("text")))
+    return docs.join(odd, F.col("doc_id") == F.col("__odd"), "left").select(*docs.columns, F.when(other, of_text).otherwise(F.col("doc_id")).alias("__row"))
+
+
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every class of near and exact copies the document with the smallest id; rows without an id stay."""
+    """Of every class of near and exact copies one document: that with the smallest id, if any has one.
+
+    Copies may repeat an id or have none. Texts without words have no copies and stay.
+    """
     from riskloom.llm.jaccard import jaccard_classes
 
     ship(spark)
-    copies = stash(jaccard_classes(docs).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    rows = _numbered(docs)
+    # one row of this a row of docs, of three numbers
+    classes = stash(jaccard_classes(rows, id_col="__row"), "classes")
+    copies = stash(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__copy")).distinct(), "copies")
+    again = stash(classes.where("doc_id = component_id and n_shingles > 0").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").select("__again"), "repeated")
+    kept = rows.join(copies, F.col("__row") == F.col("__copy"), "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(again, F.col("__row") == F.col("__again"), "left_anti")
+    rest = [c for c in docs.columns if c != "text"]
+    first = kept.join(again, F.col("__row") == F.col("__again"), "left_semi").groupBy("__row", "text").agg(F.min(F.struct(*rest)).alias("__first"))
+    return once.select(*docs.columns).unionByName(first.select("text", "__first.*").select(*docs.columns))
 
 
 def remove_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,18 @@ def test_stages_take_effect(spark, sf_dir):
 def test_run_is_repeatable(spark, sf_dir):
     rows = lambda: sorted(map(str, corpus_pipeline.run(spark, sf_dir).select("doc_id", "shard", "slot").collect()))
     assert rows() == rows()
+
+
+def test_one_row_of_each_group_of_copies_stays(spark, make_docs):
+    rng = random.Random(4)
+    text = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (1, a, "de", "s"), (2, a + " end", "en", "s")]  # repeats of an id, and a near copy
+    rows += [(None, b, "en", "s"), (None, b, "en", "t"), (None, c, "en", "s"), (3, c, "en", "s"), (None, a, "en", "s")]  # without an id
+    rows += [(4, d, "en", "s"), (4, e, "en", "s"), (4, e, "en", "s"), (None, "", "en", "s"), (None, None, None, None), (5, "", "en", "s")]
+    docs = make_docs(rows, extra=False)
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, "")
+    assert got.columns == docs.columns
+    found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert [x for x in found if x[1]] == sorted([(1, a), (None, b), (3, c), (4, d), (4, e)], key=str)
+    assert len(found) == 8  # and the three without words
