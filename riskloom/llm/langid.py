@@ -118,7 +118,7 @@ def learn(docs: DataFrame, labelled: Column, sample_docs: int = 300, sample_byte
     """Learn from whole documents, in the order of their id's hash, until a language has ``sample_bytes``.
 
     Of each language, about ``2 * sample_docs`` documents among those ``labelled`` are looked at; longer
-    ones than ``sample_bytes`` are passed over. Rows with a null or empty text or a null language are not used.
+    ones than ``sample_bytes`` are passed over, unless all of a language are, which then has the beginning of one. Rows with a null or empty text or a null language are not used.
     """
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -129,10 +129,15 @@ def learn(docs: DataFrame, labelled: Column, sample_docs: int = 300, sample_byte
     limits = [F.when(F.col(lang_col) == lang, F.lit(min(2**63 - 1, int(-(2**63) + min(1.0, (2.0 * sample_docs + 20.0) / n) * (2**64 - 1))))) for lang, n in sizes.items()]
     few = rows.where(key <= F.coalesce(*limits)).select(F.col(lang_col).alias("lang"), key.alias("h"), F.col(text_col).alias("text"))
     parts: dict[str, list[bytes]] = {}
+    excerpts: dict[str, bytes] = {}
     for r in sorted((tuple(r) for r in few.toLocalIterator()), key=lambda r: r[:2]):
         own, text = parts.setdefault(r[0], []), clean(r[2])
         if text and len(text) <= sample_bytes and sum(map(len, own)) < sample_bytes:
             own.append(text)
+        elif len(text) > sample_bytes and not own and r[0] not in excerpts:
+            excerpts[r[0]] = text[:sample_bytes].rpartition(b" ")[0] or text[:sample_bytes]
+    for lang, text in excerpts.items():
+        parts[lang] = parts[lang] or [text]
     return LanguageModel(tuple((lang, b" ".join(own), sizes[lang]) for lang, own in sorted(parts.items()) if own))
 
 

@@ -40,6 +40,17 @@ def test_clean():
     assert clean("Hello,  WORLD 12é") == "hello world é".encode() and clean(None) == b""
 
 
+def test_language_with_long_documents_only(make_docs):
+    rng = random.Random(6)
+    vocabulary = {"en": "the and of house garden king queen river stone".split(), "fi": "talo ja puutarha kuningas joki kivi vesi metsä".split()}
+    rows = [(i, " ".join(rng.choices(vocabulary["en"], k=30)), "en", "s") for i in range(40)]
+    rows += [(100 + i, " ".join(rng.choices(vocabulary["fi"], k=2000)), "fi", "s") for i in range(4)]
+    docs = make_docs(rows)
+    model = learn(docs, F.lit(True), sample_bytes=4000)
+    assert [m[0] for m in model.samples] == ["en", "fi"] and all(0 < len(m[1]) <= 5000 for m in model.samples)
+    assert {r.doc_id: r.lang_pred for r in predict(docs, model).collect()} == {i: lang for i, _, lang, _ in rows}
+
+
 def test_learn_and_predict(make_docs):
     rng = random.Random(2)
     vocabulary = {"en": "the and of house garden king queen river stone".split(), "de": "der und von haus garten könig fluss stein das".split()}
