@@ -20,8 +20,11 @@ _NAMES = r"(?:password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]
 _KEY_HEADER = r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
 _ASSIGNED = rf"(?i:\b[A-Za-z_-]{{0,24}}{_NAMES}[\"']?\s{{0,3}}[=:]\s{{0,3}}[\"']?)[^\s\"'<>]{{6,}}"
 _RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{16,}"
+#: Forms of keys that need no digit, and so no look for one.
+_KNOWN = r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abpr]-|sk_live_|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_-]{10,}"
+_KNOWN_RUN = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{{16}})(?:{_KNOWN})[A-Za-z0-9+/_=-]*"
 #: A candidate; no groups, so that splitting by it leaves the text between candidates.
-CANDIDATE = f"{_KEY_HEADER}|{_ASSIGNED}|{_RUN}"
+CANDIDATE = f"{_KEY_HEADER}|{_ASSIGNED}|{_KNOWN_RUN}|{_RUN}"
 
 #: Words of placeholders and identifiers, for the dictionary coverage; a parameter of the features.
 DICTIONARY = (
@@ -77,7 +80,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "f_upper": _count(v, "[A-Z]") / n,
         "f_lower": _count(v, "[a-z]") / n,
         "f_symbols": _count(v, "[^A-Za-z0-9]") / n,
-        "f_distinct": F.size(F.array_distinct(F.split(F.substring(v, 1, 256), ""))) / F.least(n, F.lit(256.0)),
+        "f_distinct": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(256.0)),
         "f_switches": _count(v, "(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])") / n,
         # consonant-vowel transitions are what spoken words are made of
         "f_spoken": _count(F.lower(v), "[bcdfghjklmnpqrstvwxyz](?=[aeiou])") / letters,
@@ -86,7 +89,7 @@ def with_features(findings: DataFrame) -> DataFrame:
         "f_uuid": v.rlike("^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$").cast("double"),
         "f_covered": covered / n,
         "f_assigned": (F.length("matched") > F.length("value")).cast("double"),
-        "f_known": F.col("matched").rlike(rf"^(?:{_KEY_HEADER}|(?:AKIA|ASIA)[A-Z0-9]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,}}|xox[abpr]-|sk_live_|AIza[A-Za-z0-9_-]{{30,}}|eyJ[A-Za-z0-9_-]{{10,}})").cast("double"),
+        "f_known": F.col("matched").rlike(rf"^(?:{_KEY_HEADER}|{_KNOWN})").cast("double"),
         "f_path": F.coalesce(F.col("path").rlike(_HARMLESS_PATH), F.lit(False)).cast("double"),
         "f_secret_words": around.rlike(_SECRET_WORDS).cast("double"),
         "f_harmless_words": around.rlike(_HARMLESS_WORDS).cast("double"),
