@@ -15,7 +15,9 @@ def date_spine(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 
 def trading_calendar(spark: SparkSession, start: str, end: str, exchanges: list[str], holidays: dict[str, str], early_closes: list[str] = ()) -> DataFrame:
-    """Per exchange and date: whether it trades, local sessions 09:30 to 16:00 (13:00 on early closes) in UTC, and the holiday."""
+    """Per exchange and date: whether it trades, local sessions 09:30 to 16:00 (13:00 on early closes) in UTC, and the holiday.
+
+    The zone is part of the text that is cast, so the session's zone has no say in the instants."""
     days = date_spine(spark, start, end).withColumn("exchange_mic", F.explode(F.array(*[F.lit(x) for x in exchanges])))
     names = F.create_map(*[F.lit(x) for pair in holidays.items() for x in pair]) if holidays else F.create_map().cast("map<string,string>")
     day = F.col("calendar_date").cast("string")
@@ -24,7 +26,7 @@ def trading_calendar(spark: SparkSession, start: str, end: str, exchanges: list[
     days = days.withColumn("is_early_close", F.col("is_trading_day") & day.isin(*early_closes) if early_closes else F.lit(False))
 
     def at(time):
-        return F.when(F.col("is_trading_day"), F.to_utc_timestamp(F.concat_ws(" ", day, time).cast("timestamp"), ZONE))
+        return F.when(F.col("is_trading_day"), F.concat_ws(" ", day, time, F.lit(ZONE)).cast("timestamp"))
 
     return days.withColumns({"market_open_utc": at(F.lit("09:30:00")), "market_close_utc": at(F.when(F.col("is_early_close"), "13:00:00").otherwise("16:00:00"))})
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskloom.functions.expr import semver
+from riskloom.operators.rules import DEDUPLICATE, WARNING, Rule, violations
 
 
 def same_batch_market(df: DataFrame, key: Sequence[str], hash_col: str, order: Sequence[str]) -> DataFrame:
@@ -31,12 +32,28 @@ def same_batch_market(df: DataFrame, key: Sequence[str], hash_col: str, order: S
 
 
 def same_batch_versioned(df: DataFrame, key: Column, fallback: str, hash_col: str, order: Sequence[str]) -> DataFrame:
-    """Add hash_count and key_rank by key, or by ``fallback`` where the key is null. Several contents make a conflict
-    of all rows of a key; with one content all but the first are duplicates."""
+    """Add key_rank by key, or by ``fallback`` where the key is null. Several contents make a conflict of all rows of a
+    key; with one content all but the first are duplicates. One shuffle by the key."""
     df = df.withColumn("__k", F.coalesce(key, F.col(fallback).cast("string")))
-    hashes = df.groupBy(F.col("__k").alias("__hk")).agg(F.count_distinct(hash_col).alias("hash_count"))
-    df = df.join(hashes, F.col("__k") == F.col("__hk"), "left").withColumn("key_rank", F.row_number().over(Window.partitionBy("__k").orderBy(*order)))
-    return df.withColumn("is_conflict", F.col("hash_count") > 1).withColumn("is_duplicate", (F.col("hash_count") == 1) & (F.col("key_rank") > 1)).drop("__k", "__hk")
+    by_key = Window.partitionBy("__k")
+    df = df.withColumns({"is_conflict": F.coalesce(F.min(hash_col).over(by_key) != F.max(hash_col).over(by_key), F.lit(False)), "key_rank": F.row_number().over(by_key.orderBy(*order))})
+    return df.withColumn("is_duplicate", ~F.col("is_conflict") & (F.col("key_rank") > 1)).drop("__k")
+
+
+def batch_violations(df: DataFrame, keys: Sequence[str], prefix: str, disposition: str) -> DataFrame:
+    """The evidence of ``same_batch_*`` as violations: <prefix>_SAME_BATCH_CONFLICT (an error) on all rows of a key with several
+    contents, <prefix>_SAME_BATCH_IDENTICAL_DUPLICATE (a warning) on all but the first of equal rows."""
+    rules = [
+        Rule(f"{prefix}_SAME_BATCH_CONFLICT", F.col("is_conflict"), disposition=disposition, message="rows of one key differ within the batch"),
+        Rule(f"{prefix}_SAME_BATCH_IDENTICAL_DUPLICATE", F.col("is_duplicate") & ~F.col("is_conflict"), severity=WARNING, disposition=DEDUPLICATE, message="an equal row comes earlier in the batch"),
+    ]
+    return violations(df, rules, keys)
+
+
+def correction_violations(df: DataFrame, keys: Sequence[str], prefix: str, version_col: str) -> DataFrame:
+    """<prefix>_INVALID_CORRECTION for the rows that ``compare_versioned`` rejects."""
+    rule = Rule(f"{prefix}_INVALID_CORRECTION", F.col("comparison") == "REJECTED", field_name=version_col, expected="other content with a higher version", observed=(version_col, "current_version"))
+    return violations(df, [rule], keys)
 
 
 def compare_market(candidates: DataFrame, current: DataFrame, key: Sequence[str], hash_col: str) -> DataFrame:

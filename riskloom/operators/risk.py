@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.functions.expr import MONEY, RETURN, ratio
+from riskloom.functions.expr import MONEY, RETURN, product, ratio
 
 LEVELS = (0.95, 0.99)
 
@@ -21,7 +21,7 @@ def adjusted_returns(prices: DataFrame) -> DataFrame:
 
 def component_pnl(exposures: DataFrame, returns: DataFrame) -> DataFrame:
     """P&L per run, date and instrument: exposures has run_id, instrument_id and market_value."""
-    pnl = F.col("market_value").cast(MONEY) * F.col("simple_return")
+    pnl = F.col("market_value").try_cast(MONEY) * F.col("simple_return")
     return exposures.join(returns, "instrument_id").select("run_id", "scenario_date", "prior_date", "instrument_id", pnl.alias("pnl"))
 
 
@@ -55,17 +55,36 @@ def var_components(measures: DataFrame, components: DataFrame) -> DataFrame:
 
 def stress(exposures: DataFrame, shocks: DataFrame, navs: DataFrame) -> DataFrame:
     """Stress P&L and stressed NAV per run and scenario: shocks has scenario_id, instrument_id, shock_ratio; navs run_id and static_nav."""
-    term = F.col("market_value").cast(MONEY) * F.col("shock_ratio").cast("decimal(12,10)")
+    term = F.col("market_value").try_cast(MONEY) * F.col("shock_ratio").cast("decimal(12,10)")
     rows = exposures.join(shocks, "instrument_id").groupBy("run_id", "scenario_id").agg(F.sum(term).alias("stress_pnl"), F.count(F.lit(1)).alias("shock_count"))
     return rows.join(navs, "run_id").withColumn("stressed_nav", F.col("static_nav") + F.col("stress_pnl"))
 
 
-def stress_reconciliation(results: DataFrame, recomputed: DataFrame) -> DataFrame:
-    """Stored against recomputed results: mismatch where either side lacks a row or an amount differs."""
+def stress_reconciliation(results: DataFrame, recomputed: DataFrame, expected_shocks: int | None = None) -> DataFrame:
+    """Stored against recomputed results: no match where either side lacks a row or an amount differs.
+
+    has_all_shocks says whether the stored result rests on as many shocks as expected.
+    """
     other = recomputed.select("run_id", "scenario_id", F.col("stress_pnl").alias("again_pnl"), F.col("stressed_nav").alias("again_nav"))
     rows = results.join(other, ["run_id", "scenario_id"], "full")
     same = F.col("stress_pnl").eqNullSafe(F.col("again_pnl")) & F.col("stressed_nav").eqNullSafe(F.col("again_nav"))
-    return rows.withColumn("is_match", same)
+    rows = rows.withColumn("is_match", same)
+    return rows if expected_shocks is None else rows.withColumn("has_all_shocks", F.coalesce(F.col("shock_count") == expected_shocks, F.lit(False)))
+
+
+def static_exposures(positions: DataFrame, closes: DataFrame) -> DataFrame:
+    """Frozen quantities at the closes of the as-of date: positions (run_id, instrument_id, signed_quantity) and closes
+    (instrument_id, close_price) give run_id, instrument_id and market_value; a position without a close has none (null)."""
+    rows = positions.join(closes.select("instrument_id", "close_price"), "instrument_id", "left")
+    return rows.select("run_id", "instrument_id", product(F.col("signed_quantity"), F.col("close_price")).try_cast(MONEY).alias("market_value"))
+
+
+def price_lineage(scenarios: DataFrame, prices: DataFrame) -> DataFrame:
+    """Each scenario row (instrument_id, scenario_date, prior_date) with the record hashes of both prices behind it."""
+    def hashes(date: str, name: str) -> DataFrame:
+        return prices.select("instrument_id", F.col("price_date").alias(date), F.col("record_hash").alias(name))
+
+    return scenarios.join(hashes("prior_date", "prior_price_hash"), ["instrument_id", "prior_date"], "left").join(hashes("scenario_date", "scenario_price_hash"), ["instrument_id", "scenario_date"], "left")
 
 
 def expected_grid_missing(left: DataFrame, right: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:

@@ -30,14 +30,14 @@ def dim_instrument(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"WITH {T.PRICES}, c AS (SELECT price_date, COUNT(DISTINCT instrument_id) AS m FROM prices GROUP BY 1) "
-    "SELECT 'PRICE_BUSINESS_KEY_UNIQUE' AS rule_id, TRUE AS is_met, '0' AS observed UNION ALL SELECT 'PRICE_EXPECTED_COVERAGE', COUNT(*) = 150, CAST(COUNT(*) AS VARCHAR) FROM prices UNION ALL SELECT 'PRICE_EXPECTED_DATE_GRID', COUNT(*) FILTER (m <> 5) = 0, CAST(COUNT(*) FILTER (m <> 5) AS VARCHAR) FROM c "
+    "SELECT 'PRICE_BUSINESS_KEY_UNIQUE' AS rule_id, COUNT(*) = 0 AS is_met, CAST(COUNT(*) AS VARCHAR) AS observed FROM (SELECT user_id, CAST(ts AS DATE) FROM events GROUP BY 1, 2 HAVING COUNT(*) > 1) UNION ALL SELECT 'PRICE_EXPECTED_COVERAGE', COUNT(*) = 150, CAST(COUNT(*) AS VARCHAR) FROM prices UNION ALL SELECT 'PRICE_EXPECTED_DATE_GRID', COUNT(*) FILTER (m <> 5) = 0, CAST(COUNT(*) FILTER (m <> 5) AS VARCHAR) FROM c "
     "UNION ALL SELECT 'ACTIONS_IN_SESSIONS', COUNT(*) = 0, CAST(COUNT(*) AS VARCHAR) FROM ((SELECT DISTINCT CAST(ts AS DATE) AS d FROM events WHERE event_type = 'signup') EXCEPT ALL (SELECT DISTINCT price_date FROM prices))"
 )
 def snapshot_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = T.prices(spark, sf_dir)
     actions = T.table(spark, sf_dir, "events").where("event_type = 'signup'").select(F.col("ts").cast("date").alias("d")).distinct()
     checks = [
-        K.key_unique(prices, "PRICE_BUSINESS_KEY_UNIQUE", ["instrument_id", "price_date"]),
+        K.key_unique(T.table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("price_date")), "PRICE_BUSINESS_KEY_UNIQUE", ["user_id", "price_date"]),
         K.row_count(prices, "PRICE_EXPECTED_COVERAGE", 150),
         K.complete_grid(prices, "PRICE_EXPECTED_DATE_GRID", "price_date", "instrument_id", 5),
         K.contained(actions, prices.select(F.col("price_date").alias("d")).distinct(), "ACTIONS_IN_SESSIONS"),
@@ -72,7 +72,7 @@ def continuous_var(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {T.PRICES}, d AS (SELECT event_type AS instrument_id, CAST(ts AS DATE) AS price_date, SUM(CAST(value AS DECIMAL(18,2))) AS dividend FROM events WHERE event_id % 50 = 0 GROUP BY 1, 2), "
+    f"WITH {T.PRICES}, d AS (SELECT event_type AS instrument_id, CAST(ts AS DATE) AS price_date, SUM(CAST(value AS DECIMAL(18,2))) AS dividend FROM events GROUP BY 1, 2), "
     "p AS (SELECT instrument_id, price_date, close_price - LAG(close_price) OVER (PARTITION BY instrument_id ORDER BY price_date) AS move FROM prices) "
     f"SELECT instrument_id, CAST(price_date AS VARCHAR) AS price_date, {M('move * 100')} AS price_pnl, {M('COALESCE(dividend, 0) * 100')} AS dividend_pnl, {M('(move + COALESCE(dividend, 0)) * 100')} AS total_pnl FROM p LEFT JOIN d USING (instrument_id, price_date) WHERE move IS NOT NULL"
 )
@@ -80,7 +80,7 @@ def pnl_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price and dividend P&L of 100 units held, per instrument and date."""
     w = Window.partitionBy("instrument_id").orderBy("price_date")
     moves = T.prices(spark, sf_dir).withColumn("move", F.col("close_price") - F.lag("close_price").over(w)).where("move is not null")
-    paid = T.table(spark, sf_dir, "events").where("event_id % 50 = 0").groupBy(F.col("event_type").alias("instrument_id"), F.col("ts").cast("date").alias("price_date")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("dividend"))
+    paid = T.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("instrument_id"), F.col("ts").cast("date").alias("price_date")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("dividend"))
     rows = moves.join(paid, ["instrument_id", "price_date"], "left").withColumn("dividend", F.coalesce("dividend", F.lit(0).cast("decimal(18,2)")))
     return rows.select("instrument_id", F.col("price_date").cast("string").alias("price_date"), shown(F.col("move") * 100).alias("price_pnl"), shown(F.col("dividend") * 100).alias("dividend_pnl"), shown((F.col("move") + F.col("dividend")) * 100).alias("total_pnl"))
 

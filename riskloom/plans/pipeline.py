@@ -63,31 +63,37 @@ def digest(df: DataFrame, keys: list[str]) -> tuple[int, str]:
     return (int(found["rows"]), found["digest"]) if found else (0, "")
 
 
-def publish(store: SnapshotStore, dataset: str, prospective: DataFrame, keys: list[str], failures: Failures, run_id: str, clock: str) -> dict:
-    """Write the snapshot and its audit row in one commit if no rule failed; only the audit row otherwise.
+def _attempt(store: SnapshotStore, dataset: str) -> int:
+    return 1 + (store.read("runs").where(F.col("dataset") == dataset).count() if store.exists("runs") else 0)
 
-    A snapshot equal to the current one isn't written again (published is false), so reruns change nothing.
+
+def publish(store: SnapshotStore, dataset: str, prospective: DataFrame, keys: list[str], failures: Failures, run_id: str, clock: str, expected_rows: int | None = None, checks: Callable[[DataFrame], list[str]] | None = None) -> dict:
+    """Publish a snapshot and its audit row in one commit if no rule failed; only the audit row otherwise.
+
+    The frame is computed once, into a staged folder; rows, digest, keys and ``checks`` (which returns the ids of failed rules) are
+    read from there. A snapshot equal to the current one isn't made current again (published is false), so reruns change nothing.
     """
+    folder = store.stage(dataset, prospective)
+    staged = store.read_folders([folder])
     before = digest(store.read(dataset), keys)[1] if store.exists(dataset) else ""
-    rows, after = digest(prospective, keys)
-    failures.require(prospective.groupBy(*keys).count().where("count > 1").isEmpty(), "BUSINESS_KEY_UNIQUE")
+    rows, after = digest(staged, keys)
+    failures.require(staged.groupBy(*keys).count().where("count > 1").isEmpty(), "BUSINESS_KEY_UNIQUE")
+    failures.require(expected_rows is None or rows == expected_rows, "EXPECTED_ROW_COUNT")
+    for rule_id in checks(staged) if checks else ():
+        failures.require(False, rule_id)
     ok = not failures.found
     published = ok and after != before
-    attempt = 1
-    if store.exists("runs"):
-        attempt += store.read("runs").where(F.col("dataset") == dataset).count()
-    audit = {"run_id": run_id, "dataset": dataset, "attempt": attempt, "status": "SUCCEEDED" if ok else "FAILED", "published": published, "row_count": rows, "before_digest": before, "after_digest": after if ok else before, "failed_rule_ids": failures.sorted(), "error": None, "completed_at_utc": clock}
-    _commit(store, {dataset: prospective} if published else {}, audit)
+    audit = {"run_id": run_id, "dataset": dataset, "attempt": _attempt(store, dataset), "status": "SUCCEEDED" if ok else "FAILED", "published": published, "row_count": rows, "before_digest": before, "after_digest": after if ok else before, "failed_rule_ids": failures.sorted(), "error": None, "completed_at_utc": clock}
+    _commit(store, {dataset: [folder]} if published else {}, audit)
     if published and digest(store.read(dataset), keys) != (rows, after):
         raise RuntimeError(f"{dataset}: what was read back isn't what was written")
     return audit
 
 
-def _commit(store: SnapshotStore, tables: dict[str, DataFrame], audit: dict) -> None:
+def _commit(store: SnapshotStore, tables: dict[str, list[str]], audit: dict) -> None:
     names = [x.split()[0] for x in AUDIT.split(", ")]
     row = store.spark.createDataFrame([tuple(audit[n] for n in names)], AUDIT)
-    runs = store.read("runs").unionByName(row) if store.exists("runs") else row
-    store.commit({**tables, "runs": runs})
+    store.commit_staged(tables, {"runs": [store.stage("runs", row)]})
 
 
 def audited(store: SnapshotStore, dataset: str, run_id: str, clock: str, work: Callable[[], dict]) -> dict:
@@ -95,7 +101,7 @@ def audited(store: SnapshotStore, dataset: str, run_id: str, clock: str, work: C
     try:
         return work()
     except Exception:
-        _commit(store, {}, {"run_id": run_id, "dataset": dataset, "attempt": 1, "status": "FAILED", "published": False, "row_count": 0, "before_digest": "", "after_digest": "", "failed_rule_ids": ["UNHANDLED_EXCEPTION"], "error": traceback.format_exc(limit=1)[-500:], "completed_at_utc": clock})
+        _commit(store, {}, {"run_id": run_id, "dataset": dataset, "attempt": _attempt(store, dataset), "status": "FAILED", "published": False, "row_count": 0, "before_digest": "", "after_digest": "", "failed_rule_ids": ["UNHANDLED_EXCEPTION"], "error": traceback.format_exc(), "completed_at_utc": clock})
         raise
 
 

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import csv
 import hashlib
-import io
 import json
-from dataclasses import asdict, dataclass
+import shutil
+from dataclasses import asdict, dataclass, replace
 from pathlib import Path
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from riskloom.sources.scratch import stash
+
 MANIFEST_VERSION = "1.0.0"
 
 
@@ -44,18 +45,32 @@ class Manifest:
         return cls(**json.loads(text))
 
 
+def _measured(path: str) -> tuple[str, int]:
+    """SHA-256 and size of a file, read in pieces."""
+    found, size = hashlib.sha256(), 0
+    with open(path, "rb") as f:
+        while piece := f.read(1 << 20):
+            found.update(piece)
+            size += len(piece)
+    return found.hexdigest(), size
+
+
 def build_manifest(path: str, dataset: str, source_id: str, contract_version: str, landed_path: str = "", generation: dict | None = None) -> Manifest:
-    """Describe a CSV file. ValueError for an empty file, repeated or blank headers, and rows of another width."""
-    data = Path(path).read_bytes()
-    rows = list(csv.reader(io.StringIO(data.decode("utf-8"), newline="")))
-    if not rows:
-        raise ValueError("the file has no header")
-    header, body = rows[0], rows[1:]
-    if len(set(header)) != len(header) or not all(h.strip() for h in header):
-        raise ValueError("headers must be unique and not blank")
-    if any(len(r) != len(header) for r in body):
-        raise ValueError("a row has another number of fields than the header")
-    return Manifest(MANIFEST_VERSION, dataset, source_id, path, landed_path, "csv", hashlib.sha256(data).hexdigest(), contract_version, len(data), len(body), header, generation=generation)
+    """Describe a CSV file, read row by row. ValueError for an empty file, repeated or blank headers, and rows of another width."""
+    sha256, size = _measured(path)
+    with open(path, encoding="utf-8", newline="") as f:
+        rows = csv.reader(f)
+        header = next(rows, None)
+        if header is None:
+            raise ValueError("the file has no header")
+        if len(set(header)) != len(header) or not all(h.strip() for h in header):
+            raise ValueError("headers must be unique and not blank")
+        count = 0
+        for row in rows:
+            if len(row) != len(header):
+                raise ValueError("a row has another number of fields than the header")
+            count += 1
+    return Manifest(MANIFEST_VERSION, dataset, source_id, path, landed_path, "csv", sha256, contract_version, size, count, header, generation=generation)
 
 
 def land(path: str, root: str, dataset: str, source_id: str, contract_version: str) -> Manifest:
@@ -64,9 +79,9 @@ def land(path: str, root: str, dataset: str, source_id: str, contract_version: s
     folder = Path(root) / dataset / found.source_sha256
     folder.mkdir(parents=True, exist_ok=True)
     target = folder / Path(path).name
-    found = build_manifest(path, dataset, source_id, contract_version, str(target))
+    found = replace(found, landed_object_path=str(target))
     if not target.exists():
-        target.write_bytes(Path(path).read_bytes())
+        shutil.copyfile(path, target)
         (folder / "manifest.json").write_text(found.to_json())
     return found
 
@@ -90,16 +105,27 @@ def read_landed(spark: SparkSession, manifest: Manifest) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(manifest.landed_object_path)
 
 
+def raw_record(columns: list[str]) -> Column:
+    """The row as one line of comma-separated values: fields with a comma, quote or line break are quoted, the empty text
+    is a pair of quotes and null is nothing, so that different rows give different lines."""
+    parts = []
+    for c in columns:
+        text = F.col(c).cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+        parts.append(F.when(text.isNull(), "").when((text == "") | text.rlike('[",\r\n]'), quoted).otherwise(text))
+    return F.concat_ws(",", *parts)
+
+
 def with_lineage(rows: DataFrame, columns: list[str], order: list[str], batch_id: str, source_id: str, source_path: str, source_sha256: str, contract_version: str, ingested_at: str) -> DataFrame:
-    """Add batch, source, 1-based row number in the order given, the raw record and its hash.
+    """Add batch, source, 1-based row number in the order given, record id (batch:number), the raw record and its hash.
 
     Rows are numbered by ranges: sorted partitions are counted and each starts after the ones before, so no task sees all rows.
     """
-    raw = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    return numbered(rows.withColumn("raw_record", raw), order, "source_row_number").withColumns(
+    return numbered(rows.withColumn("raw_record", raw_record(columns)), order, "source_row_number").withColumns(
         {
             "batch_id": F.lit(batch_id),
             "source_id": F.lit(source_id),
+            "source_record_id": F.concat_ws(":", F.lit(batch_id), F.col("source_row_number").cast("string")),
             "source_object_path": F.lit(source_path),
             "source_sha256": F.lit(source_sha256),
             "source_record_sha256": F.sha2("raw_record", 256),
@@ -112,11 +138,11 @@ def with_lineage(rows: DataFrame, columns: list[str], order: list[str], batch_id
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Add a gapless number from 1 in the given total order, by one range sort.
 
-    The range partitions are persisted: their bounds come from a sample, and counting and numbering must see the
-    same bounds. A lost block is computed again with the bounds it had.
+    The range partitions are written before they are counted: their bounds come from a sample, and counting and numbering
+    must see the same bounds, also when an executor is lost.
     """
     n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    ranged = stash(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranges")
     within = ranged.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))  # one row a partition
     starts = sizes.select(F.col("__part").alias("__p"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

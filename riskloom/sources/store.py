@@ -8,16 +8,19 @@ file systems only, so the root may be in any store that Spark reaches.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "current.json"
+POINTER, LOCK = "current.json", "lock"
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root = spark, root.rstrip("/")
+    """timeout: seconds after which a writer's lock counts as left behind."""
+
+    def __init__(self, spark: SparkSession, root: str, timeout: float = 1800) -> None:
+        self.spark, self.root, self.timeout = spark, root.rstrip("/"), timeout
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -36,8 +39,8 @@ class SnapshotStore:
         finally:
             out.close()
 
-    def versions(self) -> dict[str, str]:
-        """The folder of each table's current version."""
+    def versions(self) -> dict[str, list[str]]:
+        """The folders of each table's current version: one, and one more for each append since."""
         text = self._read_text(POINTER)
         return json.loads(text) if text else {}
 
@@ -45,34 +48,77 @@ class SnapshotStore:
         return table in self.versions()
 
     def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{self.versions()[table]}")
+        return self.read_folders(self.versions()[table])
 
-    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, str]:
-        """Write new versions of these tables and make them current together."""
-        lock = self._path(f"{self.root}/lock")
-        if not self._fs.createNewFile(lock):
-            raise RuntimeError("another writer holds the store")
+    def read_folders(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
+
+    def stage(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
+        """Write a frame to a folder of its own, which no reader sees before it is committed."""
+        folder = f"{table}/v={uuid.uuid4().hex}"
+        writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+        writer.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _acquire(self) -> str:
+        """Take the lock; one that its owner has left for longer than ``timeout`` seconds is taken over."""
+        lock, owner = self._path(f"{self.root}/{LOCK}"), uuid.uuid4().hex
+        for _ in range(2):
+            if self._fs.createNewFile(lock):
+                self._write_text(LOCK, json.dumps({"owner": owner, "since": time.time()}))
+                return owner
+            if time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000 <= self.timeout:
+                break
+            self._fs.delete(lock, False)
+        raise RuntimeError("another writer holds the store")
+
+    def _release(self, owner: str) -> None:
+        text = self._read_text(LOCK)
+        if text and json.loads(text)["owner"] == owner:
+            self._fs.delete(self._path(f"{self.root}/{LOCK}"), False)
+
+    def commit_staged(self, replaced: dict[str, list[str]], appended: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+        """Make staged folders current together, in place of a table's folders or beside them."""
+        owner = self._acquire()
         try:
-            versions = self.versions()
-            for name, df in tables.items():
-                folder = f"{name}/v={uuid.uuid4().hex}"
-                writer = df.write
-                if partition_by and name in partition_by:
-                    writer = writer.partitionBy(*partition_by[name])
-                writer.parquet(f"{self.root}/{folder}")
-                versions[name] = folder
+            versions = self.versions() | replaced
+            for table, folders in (appended or {}).items():
+                versions[table] = [*versions.get(table, []), *folders]
             fresh = f"next-{uuid.uuid4().hex}.json"
             self._write_text(fresh, json.dumps(versions, sort_keys=True))
-            current, new = self._path(f"{self.root}/{POINTER}"), self._path(f"{self.root}/{fresh}")
-            context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(current.toUri() if current.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-            rename = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
-            options = self.spark.sparkContext._gateway.new_array(rename, 1)
-            options[0] = rename.OVERWRITE
-            context.rename(self._fs.makeQualified(new), self._fs.makeQualified(current), options)
+            self._replace(fresh, POINTER)
             return versions
         finally:
-            self._fs.delete(lock, False)
+            self._release(owner)
+
+    def _replace(self, name: str, target: str) -> None:
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        old, new = self._path(f"{self.root}/{target}"), self._path(f"{self.root}/{name}")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri() if old.toUri().getScheme() else self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        options = gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(self._fs.makeQualified(new), self._fs.makeQualified(old), options)
+
+    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
+        """Write new versions of these tables and make them current together."""
+        return self.commit_staged({name: [self.stage(name, df, (partition_by or {}).get(name))] for name, df in tables.items()})
 
     def append(self, table: str, df: DataFrame) -> None:
-        """A new version with these rows added."""
-        self.commit({table: self.read(table).unionByName(df) if self.exists(table) else df})
+        """Add these rows; what the table holds already is neither read nor written."""
+        self.commit_staged({}, {table: [self.stage(table, df)]})
+
+    def compact(self, table: str) -> None:
+        """One folder in place of a table's many appends."""
+        self.commit({table: self.read(table)})
+
+    def prune(self, older_than: float = 24 * 3600) -> list[str]:
+        """Delete the folders that no current version names and that haven't changed for so many seconds."""
+        current, dropped = {f for folders in self.versions().values() for f in folders}, []
+        for table in sorted({f.split("/")[0] for f in current}):
+            for status in self._fs.listStatus(self._path(f"{self.root}/{table}")):
+                folder = f"{table}/{status.getPath().getName()}"
+                if folder not in current and time.time() - status.getModificationTime() / 1000 >= older_than:
+                    self._fs.delete(status.getPath(), True)
+                    dropped.append(folder)
+        return dropped

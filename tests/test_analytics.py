@@ -70,7 +70,7 @@ def test_inception_and_cash_and_metrics(spark):
     values = spark.createDataFrame([("p", d(0), Decimal(60)), ("p", d(0), Decimal(-20)), ("p", d(1), Decimal(70)), ("p", d(1), Decimal(-20))], "portfolio_id string, valuation_date date, signed_market_value decimal(20,6)")
     closing = spark.createDataFrame([("p", d(0), Decimal(60)), ("p", d(1), Decimal(60))], "portfolio_id string, valuation_date date, closing_cash decimal(20,6)")
     a, b = P.daily_metrics(values, closing, F.lit(100)).orderBy("valuation_date").collect()
-    assert (a.nav, a.pnl, a.gross_value, a.net_value) == (100, 0, 80, 40) and (b.nav, b.pnl) == (110, 10) and abs(b.daily_return - 0.1) < 1e-12 and abs(b.gross_ratio - 90 / 110) < 1e-12
+    assert (a.nav, a.pnl, a.gross_value, a.net_value) == (100, 0, 80, 40) and (b.nav, b.pnl) == (110, 10) and b.daily_return == Decimal("0.1") and str(b.gross_ratio) == "0.818181818181818182"
 
 
 def test_previous_complete_date(spark):
@@ -113,3 +113,47 @@ def test_serving(spark):
     assert {r.k: r.nav for r in S.at_latest_date(facts, ["k"], "day", F.col("v"), "nav").collect()} == {"p": 8, "q": 2}
     assert {r.day: r.x for r in S.only_if_single(facts, ["day"], ["k"], F.col("v"), "x").collect()} == {d(0): None, d(1): 7}
     assert S.dim_date(facts.select(F.col("day").alias("d"))).count() == 2
+
+
+def test_forty_doubling_splits_and_amounts_above_1e14(spark):
+    actions = spark.createDataFrame([("A", d(1) + dt.timedelta(days=k), "STOCK_SPLIT", k, Decimal(2)) for k in range(40)], "instrument_id string, effective_date date, action_type string, source_record_id int, split_ratio decimal(20,10)")
+    inception = spark.createDataFrame([("p", "A", d(0), Decimal("1.5"))], "portfolio_id string, instrument_id string, position_date date, signed_quantity decimal(38,16)")
+    sessions = spark.range(41).selectExpr("date_add(date'" + d(0).isoformat() + "', cast(id as int)) as position_date")
+    rows = P.carry_forward(inception, sessions, P.split_multipliers(actions)).orderBy("position_date").collect()
+    assert [r.cumulative_split for r in rows] == [2**k for k in range(41)] and [r.carried_quantity for r in rows] == [Decimal("1.5") * 2**k for k in range(41)]
+    lost = actions.withColumn("split_ratio", F.lit("9999999999").cast("decimal(20,10)"))
+    assert P.carry_forward(inception, sessions, P.split_multipliers(lost)).orderBy("position_date").collect()[-1].carried_quantity is None
+    values = spark.createDataFrame([("p", d(0), Decimal("9e20")), ("p", d(1), Decimal("9.9e20"))], "portfolio_id string, valuation_date date, signed_market_value decimal(38,6)")
+    a, b = P.daily_metrics(values, spark.createDataFrame([], "portfolio_id string, valuation_date date, closing_cash decimal(20,6)")).orderBy("valuation_date").collect()
+    assert (a.nav, b.pnl, b.position_count) == (Decimal("9e20"), Decimal("9e19"), 1)
+    held = P.market_values(spark.createDataFrame([(Decimal(10**15), Decimal("123.45")), (Decimal(-3), Decimal("0.00000001"))], "signed_quantity decimal(38,16), close_price decimal(20,8)")).collect()
+    assert [h.signed_market_value for h in held] == [Decimal("123450000000000000"), Decimal("-3e-8")] and [h.position_side for h in held] == ["LONG", "SHORT"]
+
+
+def test_dividends_opening_cash_and_static_exposure(spark):
+    positions = spark.createDataFrame([("p", "A", d(k), Decimal(q)) for k, q in ((0, 10), (1, 20), (2, 20))] + [("p", "B", d(k), Decimal(-4)) for k in range(3)], "portfolio_id string, instrument_id string, position_date date, signed_quantity decimal(38,16)")
+    dividends = spark.createDataFrame([("A", d(1), Decimal("0.5")), ("A", d(1), Decimal("0.25")), ("B", d(2), Decimal(1)), ("A", d(0), Decimal(9))], "instrument_id string, effective_date date, dividend_amount_per_share decimal(20,8)")
+    flows = {r.cash_date: (r.dividend_flow, r.dividend_positions) for r in P.dividend_flows(positions, dividends).collect()}
+    assert flows == {d(0): (0, 1), d(1): (Decimal("7.5"), 1), d(2): (-4, 1)}  # the quantity before the day's split, none before inception
+    navs = spark.createDataFrame([("p", Decimal(1000)), ("q", Decimal(5))], "portfolio_id string, initial_nav decimal(18,2)")
+    values = spark.createDataFrame([("p", Decimal("990.25"))], "portfolio_id string, signed_market_value decimal(38,16)")
+    assert {r.portfolio_id: r.initial_cash for r in P.opening_cash(navs, values).collect()} == {"p": Decimal("9.75"), "q": 5}
+    frozen = spark.createDataFrame([("r", "A", Decimal(3)), ("r", "B", Decimal(-2)), ("r", "C", Decimal(1))], "run_id string, instrument_id string, signed_quantity decimal(38,16)")
+    closes = spark.createDataFrame([("A", Decimal("1.5")), ("B", Decimal(10))], "instrument_id string, close_price decimal(20,8)")
+    assert {r.instrument_id: r.market_value for r in R.static_exposures(frozen, closes).collect()} == {"A": Decimal("4.5"), "B": -20, "C": None}
+
+
+def test_price_lineage(spark):
+    prices = spark.createDataFrame([("A", d(k), f"h{k}") for k in range(2)], "instrument_id string, price_date date, record_hash string")
+    rows = spark.createDataFrame([("A", d(1), d(0)), ("A", d(2), d(1))], "instrument_id string, scenario_date date, prior_date date")
+    assert {r.scenario_date: (r.prior_price_hash, r.scenario_price_hash) for r in R.price_lineage(rows, prices).collect()} == {d(1): ("h0", "h1"), d(2): ("h1", None)}
+
+
+def test_calendar_does_not_depend_on_the_session_zone(spark):
+    at = lambda: {r.m for r in trading_calendar(spark, "2016-01-04", "2016-01-04", ["XNYS"], {}).select(F.unix_timestamp("market_open_utc").alias("m")).collect()}
+    utc = at()
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert at() == utc == {1451917800}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -56,3 +56,27 @@ def test_manifest_is_ordered_by_dataset(spark):
     rows = [("b", "1", "s", "all", 2, "x"), ("a", "1", "s", "all", 1, "y")]
     got = manifest_digest(spark.createDataFrame(rows, entry)).first()
     assert got.datasets == 2 and got.manifest_sha256 == hashlib.sha256(b"a|1|s|all|1|y\nb|1|s|all|2|x").hexdigest()
+
+
+def test_digest_levels_follow_from_the_number_of_rows(spark):
+    import hashlib
+
+    from riskloom.functions.digests import leaf_digits
+
+    assert [leaf_digits(n) for n in (0, 4096, 4097, 65536, 65537, 10**12)] == [0, 0, 1, 1, 2, 7]
+    rows = spark.range(300).select(F.lit("g").alias("g"), F.col("id").alias("k"), F.concat(F.lit("row"), F.col("id")).alias("text"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def folded(members, digits, depth=0):
+        """members: (hash of key, key, text) of one bucket; levels end at digits, digits - 3, ... counted from the leaves."""
+        ends = sorted({max(0, e) for e in range(digits, -3, -3)})
+        if depth == len(ends) - 1:
+            return sha("\n".join(t for _, _, t in sorted(members, key=lambda m: m[1])))
+        buckets = {}
+        for m in members:
+            buckets.setdefault(m[0][: ends[depth + 1]], []).append(m)
+        return sha("\n".join(folded(own, digits, depth + 1) for _, own in sorted(buckets.items())))
+
+    members = [(sha(str(k)), k, f"row{k}") for k in range(300)]
+    for digits in (1, 2, 4, 5):
+        assert tuple(tree_digest(rows, ["g"], F.col("text"), F.col("k"), digits).first()) == ("g", 300, folded(members, digits))

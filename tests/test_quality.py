@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from riskloom.operators import merge as G
 from riskloom.operators import resolve as V
 from riskloom.operators import snapshot_rules as K
-from riskloom.operators.rules import QUARANTINE, WARN, WARNING, Rule, summarise, violations
+from riskloom.operators.rules import QUARANTINE, REJECT, WARN, WARNING, Rule, judged, summarise, violations
 from riskloom.plans.contracts import CONTRACTS
 from riskloom.plans import domain_rules as D
 
@@ -17,6 +17,18 @@ def test_rules_in_one_scan(spark):
     assert {r.observed_value for r in found.where("id = 4").collect()} == {'{"v":"100"}'}
     got = {r.id: (r.violation_count, r.warning_count, r.has_reject, r.has_quarantine, r.has_error) for r in summarise(found, ["id"]).collect()}
     assert got == {2: (1, 0, True, False, True), 3: (1, 0, False, True, True), 4: (1, 1, False, False, False)}
+    beside = {r.id: (r.violation_count, r.warning_count, r.has_reject, r.has_quarantine, r.has_error) for r in judged(df, rules).collect()}
+    assert beside == got | {1: (0, 0, False, False, False)}
+
+
+def test_batch_and_correction_violations(spark):
+    rows = spark.createDataFrame([(1, "k", "a"), (2, "k", "a"), (3, "l", "a"), (4, "l", "b")], "row int, k string, h string")
+    found = V.batch_violations(V.same_batch_market(rows, ["k"], "h", ["row"]), ["row"], "PRICE", QUARANTINE)
+    assert sorted((r.row, r.rule_id, r.disposition) for r in found.collect()) == [(2, "PRICE_SAME_BATCH_IDENTICAL_DUPLICATE", "DEDUPLICATE"), (3, "PRICE_SAME_BATCH_CONFLICT", QUARANTINE), (4, "PRICE_SAME_BATCH_CONFLICT", QUARANTINE)]
+    found = V.batch_violations(V.same_batch_versioned(rows, F.col("k"), "row", "h", ["row"]), ["row"], "PORTFOLIO", REJECT)
+    assert sorted((r.row, r.disposition) for r in found.collect()) == [(2, "DEDUPLICATE"), (3, REJECT), (4, REJECT)]
+    compared = V.compare_versioned(spark.createDataFrame([("a", "h", "1.0.0")], "k string, h string, v string"), spark.createDataFrame([("a", "g", "1.0.0")], "k string, h string, v string"), ["k"], "h", "v")
+    assert [(r.rule_id, r.observed_value) for r in V.correction_violations(compared, ["k"], "PORTFOLIO", "v").collect()] == [("PORTFOLIO_INVALID_CORRECTION", '{"v":"1.0.0","current_version":"1.0.0"}')]
 
 
 def test_market_evidence_and_outcomes(spark):

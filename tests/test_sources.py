@@ -56,10 +56,16 @@ def test_store_commits_tables_together(spark, tmp_path):
     store.commit({"a": spark.range(3), "b": spark.range(5)})
     store.append("a", spark.range(3, 4))
     assert store.read("a").count() == 4 and store.read("b").count() == 5
+    assert [len(store.versions()[t]) for t in "ab"] == [2, 1]
+    store.compact("a")
+    assert store.read("a").count() == 4 and len(store.versions()["a"]) == 1 and store.prune() == [] and len(store.prune(older_than=0)) == 2
     (tmp_path / "store" / "lock").touch()
     with pytest.raises(RuntimeError):
         store.commit({"a": spark.range(1)})
     assert store.read("a").count() == 4
+    late = SnapshotStore(spark, str(tmp_path / "store"), timeout=-1)  # any lock counts as left behind
+    late.commit({"a": spark.range(1)})
+    assert store.read("a").count() == 1 and not (tmp_path / "store" / "lock").exists()
 
 
 def test_publication_is_idempotent_and_audited(spark, tmp_path):
@@ -76,7 +82,15 @@ def test_publication_is_idempotent_and_audited(spark, tmp_path):
 
     with pytest.raises(KeyError):
         audited(store, "t", "run-4", "2024-01-04", boom)
-    assert [r.status for r in store.read("runs").orderBy("run_id").collect()] == ["SUCCEEDED", "SUCCEEDED", "FAILED", "FAILED"]
+    assert [(r.status, r.attempt) for r in store.read("runs").orderBy("run_id").collect()] == [("SUCCEEDED", 1), ("SUCCEEDED", 2), ("FAILED", 3), ("FAILED", 4)]
+    short = publish(store, "t", rows, ["k"], Failures(), "run-5", "2024-01-05", expected_rows=3, checks=lambda staged: ["GRID"] if staged.count() else [])
+    assert short["failed_rule_ids"] == ["EXPECTED_ROW_COUNT", "GRID"] and not short["published"]
+
+
+def test_raw_records_tell_rows_apart(spark):
+    rows = spark.createDataFrame([(1, "a,b", "c"), (2, "a", "b,c"), (3, None, ""), (4, "", None), (5, 'x"y', "z")], "id int, a string, b string")
+    got = {r.id: r.raw_record for r in with_lineage(rows, ["a", "b"], ["id"], "b", "s", "p", "h", "1.0.0", "2024-01-01 00:00:00").collect()}
+    assert got == {1: '"a,b",c', 2: 'a,"b,c"', 3: ',""', 4: '"",', 5: '"x""y",z'}
 
 
 def test_pipeline_and_parameters(spark):
