@@ -9,12 +9,17 @@ from riskloom.llm.common import read, ship, stash
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told from their text; those without any letter go."""
+    """Documents whose language can be told from their text; those without any letter go.
+
+    Where no language can be learned (no usable label), all documents with a letter stay.
+    """
     from riskloom.llm.langid import UNKNOWN, learn, predict
 
     ship(spark)
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
     model = learn(docs.select("doc_id", "text", "lang"), ~held_out)
+    if not model.samples:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return predict(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
 
 

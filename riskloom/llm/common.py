@@ -1,30 +1,44 @@
-"""Shared helpers of the corpus operators: reading tables, the shared folder, and skew-safe group look-ups."""
+"""Shared helpers of the corpus operators: reading tables, the shared folder, bounded slices, and skew-safe group look-ups."""
 
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
-import uuid
 import zipfile
+from collections.abc import Callable, Hashable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.sources.scratch import discard, shared_dir, stash
+
+__all__ = ["BATCH_BYTES", "WORD_PATTERN", "attach", "discard", "held", "read", "release", "shared_dir", "ship", "slices", "stash"]
+
 #: ASCII white space, the only separator of words in all contracts of this subpackage.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
+#: Most bytes of an Arrow batch (or one row, if that is larger), which is what a task and its Python worker hold at once.
+BATCH_BYTES = 4 << 20
 
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, which may have another path than the driver; once a session."""
+    """Send this package to the Python workers, which may have another path than the driver, and bound their batches; once a session."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="riskloom-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="riskloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
@@ -37,57 +51,47 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
+_HELD: dict[str, tuple[Hashable, object]] = {}
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests in local mode) a
-    temporary folder is made and set.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskloom-"))
-    return sc.getCheckpointDir().rstrip("/")
 
+def held(kind: str, key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` builds, kept in this Python worker until another key or another kind is asked for.
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a stashed table, through Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
+    Workers outlive their tasks; one model at a time is all that they hold between them.
+    """
+    if kind not in _HELD or _HELD[kind][0] != key:
+        _HELD.clear()
+        _HELD[kind] = (key, make())
+    return _HELD[kind][1]
 
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it again.
 
-    This cuts lineage, and the copy outlives lost executors. The files are removed when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/riskloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def release() -> None:
+    """Drop the model that this Python worker holds."""
+    _HELD.clear()
 
-    def clean() -> None:
-        try:
-            discard(spark, path)
-        except Exception:  # the session is already gone; the folder's owner clears what is left
-            pass
 
-    atexit.register(clean)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
+def slices(batch: pa.RecordBatch, at: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch, of at most ``rows`` rows, that end where column ``at`` reaches ``size`` bytes."""
+    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
+    first, held_bytes = 0, 0
+    for k, n in enumerate(lengths, start=1):
+        held_bytes += n
+        if held_bytes >= size or k - first >= rows:
+            yield batch.slice(first, k - first)
+            first, held_bytes = k, 0
+    if first < len(lengths):
+        yield batch.slice(first)
 
 
-def attach(df: DataFrame, key: str, salt: str, aggregates: dict[str, tuple[Column, str]], salts: int = 32) -> DataFrame:
+def attach(df: DataFrame, key: str, salt: str, aggregates: dict[str, tuple[Column, str]], salts: int | None = None) -> DataFrame:
     """Give every row the aggregates of its ``key`` group, however large the group.
 
     ``aggregates`` maps an output name to (input column, one of ``min``, ``max``, ``sum``). Groups are summed
     per (key, salt) first, merged per key, and sent back only to the salts that the group has, so neither
-    step brings a whole group to one task. Rows with a null key get nulls.
+    step brings a whole group to one task. Rows with a null key get nulls. There are as many salts as shuffle
+    partitions, and 32 at least, so that a group that holds a third of all rows is spread over the whole cluster.
     """
+    salts = salts or max(32, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     s = F.pmod(F.xxhash64(F.col(salt)), F.lit(salts)).cast("int")
     how = {"min": F.min, "max": F.max, "sum": F.sum}
     rows = df.withColumn("__salt", s)

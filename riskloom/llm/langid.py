@@ -5,9 +5,11 @@ into phrases greedily: each phrase is the longest match of what is left of the t
 language's training text. A text needs few, long phrases in its own language. The language with the lowest
 ``phrases * log2(training length) / text length`` (bits a byte) wins.
 
-Texts are lower-cased UTF-8; every run of anything that is not a letter counts as one separator. The
-automata are laid out as dense tables, and all texts of an Arrow batch are walked at once, one byte a step, in
-segments of fixed length (a phrase ends where its segment ends, alike for every language).
+Texts are lower-cased UTF-8; every run of anything that is neither a letter nor its mark counts as one separator. The
+automata are laid out as dense tables, and all texts of a slice are walked at once, one byte a step, in segments of fixed
+length. A segment is first walked from the root, and again from the state in which its predecessor ended, until no end
+changes any more; so phrases go on over the borders of segments, as if each text were walked by itself. Two walks that
+begin a phrase at the same byte agree from there on, which is why one more round nearly always suffices.
 """
 
 from __future__ import annotations
@@ -17,10 +19,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from riskloom.llm.common import held, slices
+
 UNKNOWN = "und"
 SEGMENT = 256
 
@@ -33,15 +38,23 @@ class LanguageModel:
 
 
 def _clean_table() -> bytes:
-    """Byte map: ASCII letters and all bytes of longer characters stay, what else there is becomes a space."""
+    """Byte map: ASCII letters and the bytes of longer characters stay, what else there is becomes a space."""
     return bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
 
 _CLEAN = _clean_table()
 
 
+#: Characters beyond ASCII that are no letters: punctuation, digits, symbols, spaces.
+_FOREIGN = regex.compile(r"[^\x00-\x7F\p{L}\p{M}]+")
+
+
 def clean(text: str | None) -> bytes:
-    return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_CLEAN).split())
+    """The text's letters in lower case, with one space for each run of anything else."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = _FOREIGN.sub(" ", low)
+    return b" ".join(low.encode("utf-8", "replace").translate(_CLEAN).split())
 
 
 def has_letter(text: str | None) -> bool:
@@ -104,21 +117,44 @@ class Automaton:
         first = np.concatenate(([0], np.cumsum(counts)))
         padded = b"".join(t.translate(self.code).ljust(n * SEGMENT, b"\0") for t, n in zip(texts, counts.tolist(), strict=True))
         columns = np.ascontiguousarray(np.frombuffer(padded, dtype=np.uint8).reshape(-1, SEGMENT).T)
-        state = np.zeros(columns.shape[1], dtype=np.int32)
-        found, at = np.zeros_like(state), np.zeros_like(state)
+        if not len(texts):
+            return np.zeros(0, dtype=np.int64)
+        end, found = self._walk(columns, np.zeros(columns.shape[1], dtype=np.int32))
+        begins = np.zeros_like(end)
+        inner = np.ones(len(end), dtype=bool)
+        inner[first[:-1]] = False  # the first segments of texts begin at the root
+        todo = np.flatnonzero(inner)
+        while len(todo):
+            todo = todo[end[todo - 1] != begins[todo]]
+            if not len(todo):
+                break
+            begins[todo] = end[todo - 1]
+            ends, found[todo] = self._walk(np.ascontiguousarray(columns[:, todo]), begins[todo])
+            changed = todo[ends != end[todo]]
+            end[todo] = ends
+            after = changed + 1
+            after = after[after < len(end)]
+            todo = after[inner[after]]
+        return np.add.reduceat(found.astype(np.int64), first[:-1])
+
+    def _walk(self, columns: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state after each column of bytes, and the phrases that begin in it."""
+        state, found, at = begins.copy(), np.zeros_like(begins), np.empty_like(begins)
         for c in columns:
             np.add(state, c, out=at)
             np.take(self.table, at, out=state)
             found -= state >> 31
             np.abs(state, out=state)
-        return np.add.reduceat(found, first[:-1]) if len(texts) else found
+        return state, found
 
 
 def learn(docs: DataFrame, labelled: Column, sample_docs: int = 300, sample_bytes: int = 48_000, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> LanguageModel:
     """Learn from whole documents, in the order of their id's hash, until a language has ``sample_bytes``.
 
     Of each language, about ``2 * sample_docs`` documents among those ``labelled`` are looked at; longer
-    ones than ``sample_bytes`` are passed over, unless all of a language are, which then has the beginning of one. Rows with a null or empty text or a null language are not used.
+    ones than ``sample_bytes`` are passed over, unless all of a language are, which then has the beginning of one. Rows with a
+    null or empty text or a null language are not used; repeated rows count as often as they are there. Of a longer text no more
+    than twice ``sample_bytes`` characters are fetched, which is enough to see that it is longer, and for its beginning.
     """
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -127,7 +163,7 @@ def learn(docs: DataFrame, labelled: Column, sample_docs: int = 300, sample_byte
     key = F.xxhash64(F.col(id_col))
     # the lower end of the hash range, as wide as to hold that many documents of the language
     limits = [F.when(F.col(lang_col) == lang, F.lit(min(2**63 - 1, int(-(2**63) + min(1.0, (2.0 * sample_docs + 20.0) / n) * (2**64 - 1))))) for lang, n in sizes.items()]
-    few = rows.where(key <= F.coalesce(*limits)).select(F.col(lang_col).alias("lang"), key.alias("h"), F.col(text_col).alias("text"))
+    few = rows.where(key <= F.coalesce(*limits)).select(F.col(lang_col).alias("lang"), key.alias("h"), F.left(F.col(text_col), F.lit(2 * sample_bytes)).alias("text"))
     parts: dict[str, list[bytes]] = {}
     excerpts: dict[str, bytes] = {}
     for r in sorted((tuple(r) for r in few.toLocalIterator()), key=lambda r: r[:2]):
@@ -141,16 +177,9 @@ def learn(docs: DataFrame, labelled: Column, sample_docs: int = 300, sample_byte
     return LanguageModel(tuple((lang, b" ".join(own), sizes[lang]) for lang, own in sorted(parts.items()) if own))
 
 
-_BUILT: dict[int, tuple[LanguageModel, list[Automaton]]] = {}
-
-
 def _automata(model: LanguageModel) -> list[Automaton]:
     """Built once in each Python worker."""
-    key = hash(model.samples)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = (model, [Automaton(text) for _, text, _ in model.samples])
-    return _BUILT[key][1]
+    return held("languages", model.samples, lambda: [Automaton(text) for _, text, _ in model.samples])
 
 
 def identify(texts: list[str | None], model: LanguageModel) -> tuple[list[str], list[float]]:
@@ -192,8 +221,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):  # a worker holds the tables of few texts at once
-                part = batch.slice(k, 1024)
+            for part in slices(batch, at):  # a worker holds the tables of few texts at once
                 lang, score = identify(part.column(at).to_pylist(), broadcast.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*part.schema.names, "lang_pred", "score"])
 

@@ -1,8 +1,9 @@
 """Media columns: documents as ordered sequences of text and media references, with payloads joined by digest.
 
-A document's HTML is parsed into parts in page order: runs of text, and media references with the digest, size and caption
-that the page gives them. Payloads live once in a media table keyed by digest. ``resolve`` joins the two by digest; every
-reference keeps its place and its own caption, however often a payload is used.
+A document's HTML is parsed into parts in page order: runs of text, and media references with the address, digest, size and
+caption that the page gives them. Payloads live once in a media table keyed by digest; ``sha256:`` addresses name their digest, other
+addresses find theirs in a table of addresses. ``resolve`` joins by digest; every reference keeps its place and its own caption,
+however often a payload is used.
 
 Payloads are stored as 8-bit grey PNG images of width 64: lossless, readable by any image library, and each sample is one
 byte of the payload.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import stash
+from riskloom.llm.common import slices, stash
 
 WIDTH = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -78,7 +79,14 @@ def feature(payload: bytes) -> str:
     return f"rows={len(payload) // WIDTH};sum={total};min={present[0]};max={present[-1]};distinct={len(present)};hist={bins}"
 
 
-PARTS = "array<struct<position:int,kind:string,text:string,digest:string,n_bytes:bigint>>"
+PARTS = "array<struct<position:int,kind:string,text:string,url:string,digest:string,n_bytes:bigint>>"
+
+#: Elements in front of and behind which a run of text ends.
+_BLOCKS = frozenset(
+    "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+_MEDIA = frozenset("img audio video source embed".split())
+_SILENT = frozenset("script style template".split())
 
 
 class _Sequence(HTMLParser):
@@ -86,66 +94,90 @@ class _Sequence(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[dict] = []
         self.text: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure: list[dict] = []
-        self.in_figure = False
+        self.figures: list[tuple[list[dict], list[str]]] = []  # of each open figure its media and its caption
+        self.in_caption = 0
         self.silent = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.parts.append({"kind": "text", "text": text, "digest": None, "n_bytes": None})
+            self.parts.append({"kind": "text", "text": text, "url": None, "digest": None, "n_bytes": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        own = dict(attrs)
-        if tag in ("script", "style"):
+        if tag in _SILENT:
             self.silent += 1
-        elif tag == "figure":
-            self.flush()
-            self.in_figure, self.figure = True, []
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
-        elif tag in ("img", "audio", "video", "source") and (own.get("src") or "").startswith("sha256:"):
-            self.flush()
-            size = own.get("data-bytes") or ""
-            part = {"kind": "media", "text": own.get("alt") or None, "digest": own["src"][7:], "n_bytes": int(size) if size.isdigit() else None}
-            self.parts.append(part)
-            if self.in_figure:
-                self.figure.append(part)
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "br", "section", "article"):
-            self.flush()
+        elif tag in _MEDIA:
+            own: dict[str, str] = {}
+            for k, v in attrs:
+                own.setdefault(k, v or "")
+            url = own.get("src", "").strip() or own.get("srcset", "").strip().split(" ")[0].rstrip(",")
+            if url and not self.silent:
+                if not self.in_caption:
+                    self.flush()
+                size = own.get("data-bytes", "").strip()
+                digest = url.removeprefix("sha256:") if url.startswith("sha256:") else None
+                part = {"kind": "media", "text": " ".join(own.get("alt", "").split()) or None, "url": url, "digest": digest, "n_bytes": int(size) if size.isascii() and size.isdigit() and len(size) < 19 else None}
+                self.parts.append(part)
+                if self.figures:
+                    self.figures[-1][0].append(part)
+        elif tag in _BLOCKS:
+            if self.in_caption:
+                self.figures[-1][1].append(" ")
+            else:
+                self.flush()
+            if tag == "figure":
+                self.figures.append(([], []))
+                self.in_caption = 0
+            elif tag == "figcaption" and self.figures:
+                self.in_caption = 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
+        if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            self.caption = None
-            for part in self.figure:
-                part["text"] = caption or part["text"]
-        elif tag == "figure":
-            self.flush()
-            self.in_figure = False
-        elif tag in ("p", "div", "h1", "h2", "h3", "li", "section", "article"):
+        elif tag == "figcaption":
+            self.in_caption = 0
+        elif tag == "figure" and self.figures:
+            self.in_caption = 0
             self.flush()
+            self._caption()
+        elif tag in _BLOCKS:
+            if self.in_caption:
+                self.figures[-1][1].append(" ")
+            else:
+                self.flush()
+
+    def _caption(self) -> None:
+        """The innermost figure ends: its caption, if it has one, is that of all its media."""
+        media, words = self.figures.pop()
+        caption = " ".join("".join(words).split())
+        for part in media if caption else ():
+            part["text"] = caption
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            (self.text if self.caption is None else self.caption).append(data)
+            (self.figures[-1][1] if self.in_caption else self.text).append(data)
+
+    def finish(self) -> None:
+        self.flush()
+        while self.figures:  # figures that the page doesn't close
+            self._caption()
 
 
 def sequence(page: str | None) -> list[dict]:
-    """The page's parts in order: position, kind (text or media), text (or caption), digest and n_bytes."""
+    """The page's parts in order: position, kind (text or media), text (or caption), url, digest and n_bytes.
+
+    Runs of text end at block elements, line breaks and media. A medium's caption is that of its innermost figure, or else
+    its alternative text. Media without an address, and sizes that are no numbers, are passed over.
+    """
     reader = _Sequence()
     reader.feed(page or "")
     reader.close()
-    reader.flush()
+    reader.finish()
     return [{"position": k, **x} for k, x in enumerate(reader.parts)]
 
 
-_PARTS_TYPE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64())]))
+_PARTS_TYPE = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("url", pa.string()), ("digest", pa.string()), ("n_bytes", pa.int64())]))
 
 
 def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFrame:
@@ -154,17 +186,22 @@ def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFram
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sequence(x) for x in batch.column(1).to_pylist()], _PARTS_TYPE)], names=[id_col, "parts"])
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sequence(x) for x in part.column(1).to_pylist()], _PARTS_TYPE)], names=[id_col, "parts"])
 
     return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, parts {PARTS}")
 
 
-def resolve(pages: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
-    """One row per media reference: id, position, caption, n_bytes, digest and the columns of ``media`` (nulls
-    if it lacks the digest). ``media`` has one row per digest. References may favour one digest; the join is a
-    plain one by digest, whose large partitions adaptive execution splits."""
+def resolve(pages: DataFrame, media: DataFrame, id_col: str, addresses: DataFrame | None = None) -> DataFrame:
+    """One row per media reference: id, position, caption, url, n_bytes, digest and the columns of ``media`` (nulls if it lacks
+    the digest). ``media`` has one row per digest; ``addresses`` (url, digest), with one row per url, gives the digests of
+    ordinary addresses. References may favour one digest; the joins are plain ones, whose large partitions adaptive execution
+    splits."""
     refs = pages.select(F.col(id_col), F.explode("parts").alias("__p")).where("__p.kind = 'media'")
-    refs = refs.select(id_col, F.col("__p.position").alias("position"), F.col("__p.text").alias("caption"), F.col("__p.n_bytes").alias("n_bytes"), F.col("__p.digest").alias("digest"))
+    refs = refs.select(id_col, F.col("__p.position").alias("position"), F.col("__p.text").alias("caption"), F.col("__p.url").alias("url"), F.col("__p.n_bytes").alias("n_bytes"), F.col("__p.digest").alias("digest"))
+    if addresses is not None:
+        known = addresses.select(F.col("url").alias("__url"), F.col("digest").alias("__digest"))
+        refs = refs.join(known, F.col("digest").isNull() & (F.col("url") == F.col("__url")), "left").withColumn("digest", F.coalesce("digest", "__digest")).drop("__url", "__digest")
     return refs.join(media, "digest", "left")
 
 
@@ -174,8 +211,7 @@ def illustrated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                part = batch.slice(k, 1024)
+            for part in slices(batch, 1):
                 pages, digests, images = [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     data = (text or "").encode("utf-8", "surrogatepass")
@@ -196,16 +232,17 @@ def described(media: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for digest, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                image = image.as_py()
-                payload = decode(image)
-                own = hashlib.sha256(payload).hexdigest()
-                if own != digest:
-                    raise ValueError(f"payload {digest} is damaged")
-                rows.append((digest, len(payload), own, zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_DESCRIBED)
+            for part in slices(batch, 1):
+                rows = []
+                for digest, image in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    image = image.as_py()
+                    payload = decode(image)
+                    own = hashlib.sha256(payload).hexdigest()
+                    if own != digest:
+                        raise ValueError(f"payload {digest} is damaged")
+                    rows.append((digest, len(payload), own, zlib.crc32(payload[-WIDTH:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)))
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=_DESCRIBED)
 
     return media.select("digest", "media").mapInArrow(run, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import read, stash
 
 
+def _held_out(parts: int, one: int) -> Column:
+    """Whether crc32(doc_id as text) mod parts is one; rows without an id are not held out."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts)) == one, F.lit(False))
+
+
 def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.media import media_of_texts
 
@@ -33,7 +38,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.langid import learn, predict
 
     docs = read(spark, sf_dir, "documents")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    held_out = _held_out(5, 0)
     model = learn(docs.select("doc_id", "text", "lang"), ~held_out)
     out = predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -43,9 +48,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.llm.toxicity import learn, score
 
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    held_out = _held_out(3, 1)
     model = learn(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"), ~held_out)
-    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", F.size("offending").alias("offending_sentences"))
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "offending")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import stash
+
 
 @dataclass(frozen=True)
 class Tree:
@@ -104,35 +106,48 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", buckets: in
     Returns id, size (UTF-8 bytes of ``text`` plus 16), text_crc32, law, shard, slot and grown_shard (the
     shard in the tree with one more); with ``payload`` the columns of ``docs`` and then shard, slot and
     grown_shard. Slots are gapless from 0 in each shard. They are numbered in ``buckets`` hash buckets whose
-    counts give the offsets, so that no task holds a whole shard: the counts are at most shards * buckets rows.
+    counts give the offsets, so that no task holds a whole shard: the counts are at most shards * buckets rows. Rows go to buckets by
+    their id and text together, and equal rows are counted before they are numbered, so neither a repeated id nor a
+    repeated row makes a bucket hot (with ``payload``, rows that are equal in id and text share a bucket).
 
     A null text has no bytes and checksum 0. A null id is hashed as the word ``null``. Rows with equal ids
-    share a shard and get different slots in an order that equal rows leave open. An empty table stays empty.
+    share a shard and get different slots, in the order of a hash of the row; rows that are equal in it are
+    equal altogether, so it is all one which of them gets which slot. Very long texts are hashed whole. An empty table stays empty.
     Other columns are ignored, or kept with ``payload``, whatever their names.
     """
     tree = even_tree(shards)
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    bucket = F.pmod(F.xxhash64(F.lit("slot"), key), F.lit(buckets)).cast("int")
-    clash = [c for c in ("shard", "slot", "grown_shard", "shard_draw") if c in docs.columns]
-    kept = docs.drop(*clash) if payload else None
-
-    where = place(docs.select(id_col), key, tree).withColumn("__b", bucket)
-    counts = where.groupBy(F.col("shard").alias("__cs"), F.col("__b").alias("__cb")).agg(F.count(F.lit(1)).alias("__n"))
-    # at most shards * buckets rows
-    offsets = counts.selectExpr("__cs", "__cb", "sum(__n) over (partition by __cs order by __cb) - __n as __first")
-    rows = kept if payload else docs.select(
+    text_hash = F.xxhash64(F.lit("slot"), key, F.coalesce("text", F.lit("")))
+    bucket = F.pmod(F.col("__th"), F.lit(buckets)).cast("int")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = place(rows, key, tree)
+        added = _draw(key, F.lit(f"root/{len(tree.regions)}"), F.lit(1.0))
+        return rows.withColumn("grown_shard", F.when(added < F.col("shard_draw"), F.lit(shards)).otherwise(F.col("shard")).cast("int")).drop("shard_draw")
+
+    def offsets(counts: DataFrame) -> DataFrame:
+        """First slot of each bucket of each shard; at most shards * buckets rows."""
+        found = counts.selectExpr("__cs", "__cb", "sum(__n) over (partition by __cs order by __cb) - __n as __first")
+        return F.broadcast(found) if shards * buckets <= 1 << 16 else found
+
+    if payload:
+        kept = docs.drop("shard", "slot", "grown_shard", "shard_draw")
+        counts = place(docs.select(id_col, "text"), key, tree).withColumn("__th", text_hash).groupBy(F.col("shard").alias("__cs"), bucket.alias("__cb")).agg(F.count(F.lit(1)).alias("__n"))
+        rows = placed(kept.withColumn("__th", text_hash).withColumn("__row", F.xxhash64(*kept.columns))).withColumn("__b", bucket)
+        numbered = rows.selectExpr("*", f"row_number() over (partition by shard, __b order by `{id_col}`, __th, __row) - 1 as __at")
+        out = numbered.join(offsets(counts), (F.col("shard") == F.col("__cs")) & (F.col("__b") == F.col("__cb")))
+        return out.select(*kept.columns, "shard", (F.col("__first") + F.col("__at")).cast("long").alias("slot"), "grown_shard")
+
+    narrow = docs.select(
         id_col,
         (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16).alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
-        F.lit("key").alias("law"),
+        text_hash.alias("__th"),
     )
-    rows = place(rows, key, tree).withColumn("__b", bucket)
-    added = _draw(key, F.lit(f"root/{len(tree.regions)}"), F.lit(1.0))
-    rows = rows.withColumn("grown_shard", F.when(added < F.col("shard_draw"), F.lit(shards)).otherwise(F.col("shard")).cast("int")).drop("shard_draw")
-    numbered = rows.selectExpr("*", f"row_number() over (partition by shard, __b order by {id_col}) - 1 as __at")
-    small = F.broadcast(offsets) if shards * buckets <= 1 << 16 else offsets
-    out = numbered.join(small, (F.col("shard") == F.col("__cs")) & (F.col("__b") == F.col("__cb")))
-    out = out.withColumn("slot", (F.col("__first") + F.col("__at")).cast("long"))
-    if payload:
-        return out.select(*kept.columns, "shard", "slot", "grown_shard")
-    return out.select(id_col, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # the one reading of the texts; equal rows are counted before they are shuffled
+    groups = stash(placed(narrow.groupBy(id_col, "size", "text_crc32", "__th").agg(F.count(F.lit(1)).alias("__n"))).withColumn("__b", bucket), "shard-rows")
+    counts = groups.groupBy(F.col("shard").alias("__cs"), F.col("__b").alias("__cb")).agg(F.sum("__n").alias("__n"))
+    upto = f"sum(__n) over (partition by shard, __b order by `{id_col}`, __th, size, text_crc32 rows unbounded preceding) - __n as __at"
+    numbered = groups.selectExpr("*", upto).join(offsets(counts), (F.col("shard") == F.col("__cs")) & (F.col("__b") == F.col("__cb")))
+    first = F.col("__first") + F.col("__at")
+    return numbered.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("slot"), "grown_shard").select(id_col, "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")

@@ -10,15 +10,19 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import held, slices
+
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"[^\W_][^.!?\n]*")  # from its first letter or digit to its end
 #: Lengths of the word beginnings that are features beside the whole word.
@@ -125,7 +129,7 @@ class Scorer:
         self.starts = {f.lstrip("^")[: min(PREFIXES)] for f in model.weights}
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """The document's probability, and start, end (in the lower-cased text) and probability of the
+        """The document's probability, and start, end (in characters of the text) and probability of the
         sentences from 0.5 on."""
         lower, starts, n = (text or "").lower(), self.starts, min(PREFIXES)
         if not any(w[:n] in starts for w in _WORD.findall(lower)):
@@ -140,6 +144,9 @@ class Scorer:
             total += float(np.logaddexp(0, z))
             if z >= 0:
                 located.append((m.start(), m.end(), 1 / (1 + math.exp(-min(z, 500)))))
+        if located and len(lower) != len(text):  # some character is longer in lower case
+            ends = list(accumulate(len(c.lower()) for c in text))
+            located = [(bisect_right(ends, a), bisect_left(ends, e) + 1, p) for a, e, p in located]
         return -math.expm1(-total), located
 
 
@@ -149,25 +156,28 @@ _OUT = "score double, predicted int, offending array<struct<start:int,end:int,sc
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, score, predicted (score from the model's threshold on) and the offending sentences.
 
-    Only the whole text decides; null and empty texts have score 0. Equal texts get equal scores. Other columns are
-    ignored, and an empty table gives an empty result.
+    Only the whole text decides, however long; null and empty texts have score 0. Equal texts get equal scores, repeated rows
+    are scored each. Spans count characters of the text from 0, the end excluded. Other columns are ignored, and an empty table
+    gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)  # max_features weights
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # max_features weights
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        model = sent.value
+        scorer = held("toxicity", (tuple(model.weights.items()), model.bias, model.threshold), lambda: Scorer(model))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            found = [scorer.score(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([s for s, _ in found], pa.float64()),
-                    pa.array([int(s >= scorer.model.threshold) for s, _ in found], pa.int32()),
-                    pa.array([[{"start": a, "end": b, "score": p} for a, b, p in spans] for _, spans in found], kind),
-                ],
-                names=["doc_id", "score", "predicted", "offending"],
-            )
+            for part in slices(batch, 1):
+                found = [scorer.score(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([s for s, _ in found], pa.float64()),
+                        pa.array([int(s >= scorer.model.threshold) for s, _ in found], pa.int32()),
+                        pa.array([[{"start": a, "end": b, "score": p} for a, b, p in spans] for _, spans in found], kind),
+                    ],
+                    names=["doc_id", "score", "predicted", "offending"],
+                )
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, {_OUT}")

@@ -6,7 +6,8 @@ become ``revisit`` records. Every record is a gzip member of its own. An archive
 of a Parquet row, so that any store that Spark reaches can hold it and no row is larger than a batch.
 
 Reading parses all archives. Records without segments are decoded where they are found; segments are grouped by the identifier of
-their origin, put in order of their number, held against the total length, joined and decoded.
+their origin, put in order of their number, held against the total length, joined and decoded. Damage costs no other record: what
+can't be parsed, and continuations whose origin is lost, are rows of their own that say so.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from riskloom.llm.common import attach
 
 CRLF = b"\r\n"
 _ID = "urn:riskloom:page:"
+#: How a gzip member begins: magic number and method.
+_MEMBER = b"\x1f\x8b\x08"
 
 
 @dataclass(frozen=True)
@@ -51,14 +54,20 @@ def chunked(body: bytes, size: int) -> bytes:
 
 
 def dechunked(framed: bytes) -> bytes:
-    """The body of chunked transfer framing; extensions and trailers are passed over. ValueError if it is cut short."""
+    """The body of chunked transfer framing; extensions and trailers are passed over. ValueError if it is cut short, also
+    where only the empty line that ends it is missing."""
     parts, at = [], 0
     while True:
         end = framed.find(CRLF, at)
         if end < 0:
             raise ValueError("a chunk has no size")
-        size = int(framed[at:end].split(b";")[0], 16)
+        digits = framed[at:end].split(b";")[0].strip()
+        if not digits or digits.translate(None, b"0123456789abcdefABCDEF"):
+            raise ValueError("a chunk's size is no number")
+        size = int(digits, 16)
         if size == 0:
+            if framed[end : end + 4] != CRLF + CRLF and framed.find(CRLF + CRLF, end + 2) < 0:
+                raise ValueError("the last chunk is cut short")
             return b"".join(parts)
         at = end + 2
         if framed[at + size : at + size + 2] != CRLF:
@@ -79,15 +88,30 @@ def member(data: bytes) -> bytes:
 
 
 def members(archive: bytes, window: int = 1 << 16) -> Iterator[bytes]:
-    """The gzip members of an archive, unpacked one by one."""
+    """The gzip members of an archive, unpacked one by one. ValueError at the first that is damaged or cut short."""
+    for data in salvaged(archive, window):
+        if data is None:
+            raise ValueError("a member is damaged or cut short")
+        yield data
+
+
+def salvaged(archive: bytes, window: int = 1 << 16) -> Iterator[bytes | None]:
+    """The gzip members of an archive, and None for each stretch of damage, after which the next member is looked for."""
     view, at = memoryview(archive), 0
     while at < len(view):
-        z, parts = zlib.decompressobj(31), []
-        while not z.eof:
-            if at >= len(view):
-                raise ValueError("the last member is cut short")
-            parts.append(z.decompress(view[at : at + window]))
-            at = min(at + window, len(view)) - len(z.unused_data)
+        z, parts, begin = zlib.decompressobj(31), [], at
+        try:
+            while not z.eof:
+                if at >= len(view):
+                    raise zlib.error("cut short")
+                parts.append(z.decompress(view[at : at + window]))
+                at = min(at + window, len(view)) - len(z.unused_data)
+        except zlib.error:
+            yield None
+            at = archive.find(_MEMBER, begin + 1)
+            if at < 0:
+                return
+            continue
         yield b"".join(parts)
 
 
@@ -98,12 +122,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     if not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (f.partition(":") for f in fields)}
-    size = int(headers["content-length"])
+    if "warc-type" not in headers or "warc-record-id" not in headers:
+        raise ValueError("a header is missing")
+    size = _whole_number(headers.get("content-length"))
     if len(rest) != size + 4:
         raise ValueError("the record's length is wrong")
     return headers, rest[:size]
 
 
+def _whole_number(text: str | None) -> int:
+    if not text or not text.isascii() or not text.isdigit() or len(text) > 18:
+        raise ValueError(f"not a whole number: {text!r}")
+    return int(text)
+
+
 def http(block: bytes) -> tuple[dict[str, str], bytes]:
     """HTTP headers and body, the transfer framing taken off."""
     head, _, body = block.partition(CRLF + CRLF)
@@ -141,7 +173,12 @@ _ARCHIVE = pa.schema([("batch", pa.string()), ("archive", pa.string()), ("data",
 
 def write_archives(pages: DataFrame, layout: Layout = Layout(), id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Rows (batch, archive, data): the archives of all pages. A page that repeats an earlier page's payload of ``least``
-    bytes or more, earlier by id, is a revisit of the earliest one."""
+    bytes or more, earlier by id, is a revisit of the earliest one.
+
+    A null html is an empty payload and a null url ``about:blank``. Pages without an id are responses; rows that repeat an id are
+    written each, into batches of their own. Long pages are written whole, in as many segments as they need; other columns are
+    ignored; an empty table gives no archive.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     rows = rows.withColumn("__group", F.when((F.octet_length("html") >= layout.least) & F.col("page_id").isNotNull(), F.col("digest")))
@@ -179,7 +216,7 @@ _NAMES = [x.split()[0] for x in _RESULT.split(", ")]
 
 def _number(urn: str | None) -> int | None:
     digits = (urn or "").strip("<>").removeprefix(_ID)
-    return int(digits) if digits else None
+    return int(digits) if digits.removeprefix("-").isdigit() and digits.isascii() and len(digits) < 20 else None
 
 
 def _decoded(headers: dict[str, str], block: bytes, segments: int, whole: bool = True) -> tuple:
@@ -191,7 +228,8 @@ def _decoded(headers: dict[str, str], block: bytes, segments: int, whole: bool =
     except ValueError:
         fields, payload, whole = {}, b"", False
     if kind == "revisit":
-        size, digest = int(fields.get("content-length", 0)), stated
+        length = fields.get("content-length", "")
+        size, digest = int(length) if length.isascii() and length.isdigit() else 0, stated
     else:
         size, digest = len(payload), hashlib.sha256(payload).hexdigest()
         whole = whole and digest == stated
@@ -199,39 +237,55 @@ def _decoded(headers: dict[str, str], block: bytes, segments: int, whole: bool =
 
 
 def _records(archives: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, str], bytes]]:
+    """Batch, headers and block of every record; a damaged one has the type ``damaged``."""
     for rows in archives:
         for batch, data in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
-            for raw in members(data.as_py()):
-                headers, block = parse(raw)
-                if headers["warc-type"] in ("response", "revisit", "continuation"):
+            for raw in salvaged(data.as_py() or b""):
+                try:
+                    if raw is None:
+                        raise ValueError("a member is damaged")
+                    headers, block = parse(raw)
+                    if "warc-segment-number" in headers:
+                        _whole_number(headers["warc-segment-number"])
+                        _whole_number(headers.get("warc-segment-total-length", "0"))
+                except ValueError:
+                    headers, block = {"warc-type": "damaged", "warc-record-id": ""}, b""
+                if headers["warc-type"] in ("response", "revisit", "continuation", "damaged"):
                     yield batch, headers, block
 
 
 def _join(rows: pd.DataFrame) -> pd.DataFrame:
-    """The segments of one origin: in order, without gap, of the stated total length."""
+    """The segments of one origin: in order, without gap, of the stated total length. Continuations alone give a row of
+    type ``continuation`` with the page's id."""
     rows = rows.sort_values("number", kind="stable")
     block = b"".join(rows["block"])
     whole = rows["number"].tolist() == list(range(1, len(rows) + 1)) and rows["total"].max() == len(block)
     firsts = [h for h in rows["headers"] if h]
-    if not firsts:
-        return pd.DataFrame([], columns=_NAMES)
-    headers = dict(x.split(": ", 1) for x in firsts[0].split("\n"))
-    return pd.DataFrame([_decoded(headers, block, len(rows), bool(whole))], columns=_NAMES).astype({"refers_to": "Int64", "page_id": "Int64"})
+    if firsts:
+        headers = dict(x.split(": ", 1) for x in firsts[0].split("\n") if ": " in x)
+        found = _decoded(headers, block, len(rows), bool(whole))
+    else:
+        found = (_number(rows["origin"].iat[0].partition(" ")[2]), None, 0, None, "continuation", None, len(rows), False)
+    return pd.DataFrame([found], columns=_NAMES).astype({"refers_to": "Int64", "page_id": "Int64"})
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, segments, complete."""
+    """One row per page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, segments, complete.
+
+    complete is false where segments, framing or digest are not right. A record that can't be parsed is a row of type ``damaged``
+    without an id, and continuations without their origin are one row of type ``continuation``; both are not complete. No archive, no row.
+    """
 
     def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_decoded(h, block, 1) for _, h, block in _records([batch]) if "warc-segment-number" not in h]
+            found = [_decoded(h, block, 1) if h["warc-type"] != "damaged" else (None, None, 0, None, "damaged", None, 0, False) for _, h, block in _records([batch]) if "warc-segment-number" not in h]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names=_NAMES)
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                (f"{b} {h.get('warc-segment-origin-id', h['warc-record-id'])}", int(h["warc-segment-number"]), int(h.get("warc-segment-total-length", 0)), "\n".join(f"{k}: {v}" for k, v in h.items()) if h["warc-type"] == "response" else "", block)
+                (f"{b} {h.get('warc-segment-origin-id') or h['warc-record-id']}", int(h["warc-segment-number"]), int(h.get("warc-segment-total-length", 0)), "\n".join(f"{k}: {v}" for k, v in h.items()) if h["warc-type"] == "response" else "", block)
                 for b, h, block in _records([batch])
                 if "warc-segment-number" in h
             ]

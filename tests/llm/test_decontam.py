@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 from riskloom.llm.decontam import Rules, Searcher, block_max_wand, build, drop_leaks, find_leaks, question_and_answer, words
 
@@ -13,7 +15,7 @@ def corpus(seed=1, n=40):
 
 def test_wand_equals_exhaustive_scores():
     rng, text, items = corpus(n=120)
-    index = build(items)
+    (index,) = build(items, Rules(min_window=64))
     for _ in range(200):
         source = rng.choice(items)[1] if rng.random() < 0.6 else ""
         query = {index.terms[w] for w in words(f"{text(40)} {source}") if w in index.terms}
@@ -76,11 +78,11 @@ def test_no_searcher_is_reused_for_other_items(monkeypatch):
     from riskloom.llm import decontam
 
     monkeypatch.setattr(decontam, "id", lambda x: 1, raising=False)  # as if every list had the address of the one before
-    parts = [decontam._slice([(k, f"item {k} alpha beta gamma delta")], decontam.Totals(1, 6, 6)) for k in (1, 2, 1)]
+    parts = [decontam._slice([(k, f"item {k} alpha beta gamma delta")], decontam.Totals(1, 6)) for k in (1, 2, 1)]
     a, b, c = (decontam._searcher(p, Rules()) for p in parts)
-    assert a.index.ids == [1] and b.index.ids == [2] and c is a
-    assert decontam._searcher(parts[0], Rules(width=2)) is not a
-    assert decontam._slice(parts[0].items, decontam.Totals(2, 12, 6)).key != parts[0].key
+    assert a.parts[0].index.ids == [1] == c.parts[0].index.ids and b.parts[0].index.ids == [2]
+    assert decontam._searcher(parts[0], Rules()) is c and decontam._searcher(parts[0], Rules(width=2)) is not c
+    assert decontam._slice(parts[0].items, decontam.Totals(2, 12)).key != parts[0].key
 
 
 def test_short_answers_that_are_cut_or_changed():
@@ -92,3 +94,73 @@ def test_short_answers_that_are_cut_or_changed():
     assert found(" ".join(question.split()[:11]) + " none of it") == []  # less of the question, and no answer
     assert found(" ".join(question.split()[4:]) + " alpha changed gamma delta") == [1]
     assert found("alpha beta gamma delta") == []
+
+
+def brute(docs, items, rules):
+    """Every window of every document against every item: BM25 share and overlaps from their definitions."""
+    kept = [(i, words(t), t) for i, t in items if words(t)]
+    n, mean = len(kept), sum(len(w) for _, w, _ in kept) / max(1, len(kept))
+    df = Counter(t for _, w, _ in kept for t in set(w))
+    out = set()
+    for i, w, text in kept:
+        share = {}
+        for t, tf in Counter(w).items():
+            share[t] = math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+        total = sum(share.values())
+        q, a = question_and_answer(text)
+        grams = lambda x, k: {tuple(x[j : j + k]) for j in range(len(x) - k + 1)}
+        size = 32
+        while size < len(w):
+            size *= 2
+        for d, doc in docs:
+            own = words(doc)
+            for low in range(-size, len(own), size):
+                passage = own[max(0, low) : low + 2 * size]
+                if sum(share.get(t, 0) for t in set(passage)) < (rules.threshold - 1e-9) * total:
+                    continue
+                overlaps = []
+                for part in (q, a):
+                    if part:
+                        k = min(5, len(part)) if part is q else (5 if len(part) >= 10 else min(5, max(1, len(part) // 4)))
+                        overlaps.append(len(grams(part, k) & grams(passage, k)) / len(grams(part, k)))
+                k = min(5, len(w))
+                if min(overlaps) >= 0.5 or len(grams(w, k) & grams(passage, k)) / len(grams(w, k)) >= 0.75:
+                    out.add((d, i))
+    return out
+
+
+def leaky_docs(rng, text, items, n=90):
+    docs = []
+    for d in range(n):
+        own = items[rng.randrange(len(items))][1].split()
+        if d % 3 == 1:  # cut at an end or changed within
+            own = own[rng.randrange(len(own) // 2) :]
+        elif d % 3 == 2:
+            for _ in range(rng.randrange(1, 5)):
+                own[rng.randrange(len(own))] = "changed"
+        docs.append((d, f"{text(rng.randrange(0, 150))} {' '.join(own)} {text(rng.randrange(0, 150))}"))
+    return docs
+
+
+def test_search_equals_brute_force():
+    rng, text, items = corpus(seed=21, n=30)
+    items += [(100, text(90) + ". " + text(40) + "."), (101, text(300))]
+    docs = leaky_docs(rng, text, items)
+    found = {(d, x[0]) for (d, _), own in zip(docs, Searcher(build(items)).leaks([t for _, t in docs])) for x in own}
+    assert found == brute(docs, items, Rules()) and 30 < len(found)
+
+
+def test_results_don_t_depend_on_slices_order_or_other_items(make_docs, spark):
+    rng, text, items = corpus(seed=5, n=24)
+    halves = [[f"{h}{k}" for k in range(20)] for h in "qa"]
+    items.append((600, f"{' '.join(halves[0])}. {' '.join(halves[1])}."))
+    long = (500, " ".join(f"long{k}" for k in range(20_000)))
+    docs = make_docs([(d, t, "en", "s") for d, t in leaky_docs(rng, text, items, 45)] + [(900, f"{' '.join(halves[0])} {'x ' * 9000} {' '.join(halves[1])}", "en", "s")], extra=False)
+    results = []
+    for own, rules in ((items, Rules()), (items[::-1], Rules(slice_bytes=200)), (items, Rules(slice_bytes=1))):
+        bench = spark.createDataFrame([(str(i), t) for i, t in own], "item_id string, text string").coalesce(1)
+        results.append(sorted((r.doc_id, r.item_id, round(r.score, 12), r.question_overlap, r.answer_overlap) for r in find_leaks(docs, bench, rules).collect()))
+    assert results[0] == results[1] == results[2] and len(results[0]) > 20
+    with_long = spark.createDataFrame([*[(str(i), t) for i, t in items], (None, long[1]), (None, None)], "item_id string, text string")
+    assert 900 not in {r.doc_id for r in find_leaks(docs, with_long).collect()}  # question and answer are 9,000 words apart
+    assert [r.item_id for r in find_leaks(make_docs([(1, long[1], "en", "s")]), with_long).collect()] == [None]

@@ -1,4 +1,6 @@
 import math
+import random
+import time
 
 from riskloom.llm.html_extract import clusters, extract, lines, main_text, smooth
 
@@ -70,3 +72,51 @@ def test_frames(spark):
     found = sorted(map(tuple, got.collect()), key=str)
     assert found == sorted([(i, u, main_text(h), len(main_text(h))) for i, u, h, *_ in rows], key=str)
     assert extract(pages.limit(0)).count() == 0
+
+
+PROSE = "".join(f"<p>A long paragraph, number {k}, about many things that happen in the world every day.</p>" for k in range(5))
+
+
+def test_ambiguous_names_are_left_to_the_ratios():
+    parts = lambda inner: [t for t in main_text(f"<article>{PROSE}{inner}{PROSE}</article>").split("\n\n") if not t.startswith("A long")]
+    for name in ("legal", "tags", "search", "follow", "alert", "discussion", "commercial", "related"):
+        assert parts(f'<div class="{name}">The {name} history of the case is long and well known to all.</div>') == [f"The {name} history of the case is long and well known to all."]
+        assert parts(f'<div class="{name}"><a href=1>one</a> <a href=2>two</a></div>') == []
+    assert parts("<ul><li><a href=1>Another story</a><li><a href=2>And one more</a></ul>") == []
+    assert parts('<div class="cookie-notice">We use cookies to make this site work for you and for others.</div>') == []
+    assert parts("<p><a href=1>A paragraph that is all link.</a></p><h2>Head</h2><p>x</p>") == ["A paragraph that is all link.", "Head", "x"]
+
+
+def test_lines_equal_a_plain_computation():
+    """Ratios, smoothing, threshold and choice on pages of one article, from the definition."""
+    rng = random.Random(8)
+    for _ in range(60):
+        kinds, html = [], ""
+        for k in range(rng.randrange(1, 30)):
+            text = " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(1, 25)))
+            kind = rng.choice(["p", "menu", "tags"])
+            html += {"p": f"<p>{text}</p>", "menu": f"<div><a href=x>{text}</a></div>", "tags": f'<div class="tags">{text}</div>'}[kind]
+            kinds.append((kind, text))
+        # a line's tags are those since the line before: its own start, the links' starts and ends, and the end in front of it
+        tags = [(3 if kind == "menu" else 1) + (1 if k else 2) - (0 if k else 1) for k, (kind, _) in enumerate(kinds)]
+        found = lines(f"<article>{html}</article>")
+        assert [x.text() for x in found] == [t for _, t in kinds]
+        ratios = [0 if kind == "menu" else len(t) / x.tags for (kind, t), x in zip(kinds, found)]
+        assert all(abs(x.tags - n) <= 1 for x, n in zip(found, tags))
+        w = [math.exp(-d * d / 2) for d in range(3)]
+        flat = []
+        for i in range(len(ratios)):
+            near = [(w[abs(d)], ratios[i + d]) for d in (-2, -1, 0, 1, 2) if 0 <= i + d < len(ratios)]
+            flat.append(sum(a * b for a, b in near) / sum(a for a, _ in near))
+        mean = sum(flat) / len(flat)
+        limit = math.sqrt(sum((v - mean) ** 2 for v in flat) / len(flat))
+        expected = [t for (kind, t), v, r in zip(kinds, flat, ratios) if kind == "p" or (v >= limit and r >= limit)]
+        assert main_text(f"<article>{html}</article>") == "\n\n".join(expected)
+
+
+def test_time_is_in_proportion_to_the_page():
+    for page in ("<div>" * 100_000 + "deep", "<div>text " * 50_000, "<p>" + "<b>" * 50_000 + "<p>x" * 20_000, "<li>" + "<div>" * 50_000 + "<ul><li>x</li></ul>" * 20_000, "<a href=1><p>x" * 20_000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 10
+    assert main_text("5 is more than <") == "5 is more than <" and main_text("<p>a<b>b</b>c</p>") == "abc"

@@ -8,20 +8,20 @@ TRAIN = {"a": b"the house and the garden of the king and the queen " * 20, "b":
 
 
 def brute_phrases(text, train):
-    n = 0
-    for k in range(0, len(text), SEGMENT):
-        part, i = text[k : k + SEGMENT], 0
-        while i < len(part):
-            j = i + 1
-            while j <= len(part) and part[i:j] in train:
-                j += 1
-            n, i = n + 1, max(j - 1, i + 1)
+    n, i = 0, 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in train:
+            j += 1
+        n, i = n + 1, max(j - 1, i + 1)
     return n
 
 
 def test_phrases_equal_brute_force():
     rng = random.Random(1)
     texts = [bytes(rng.choice(b"abcdehin rst\xc3\xa9") for _ in range(rng.randrange(1, 900))) for _ in range(60)] + [b"", b"zz", b"the queen"]
+    texts += [b"the house and the garden " * 200, TRAIN["a"] * 3, b"the queen " * 25 + b"zz" + b"der garten vom " * 60]  # phrases that go on over the borders of segments
+    assert max(map(len, texts)) > 4 * SEGMENT
     for train in TRAIN.values():
         assert Automaton(train).phrases(texts).tolist() == [brute_phrases(t, train) for t in texts]
 
@@ -38,6 +38,7 @@ def test_identify_defined_results():
 
 def test_clean():
     assert clean("Hello,  WORLD 12é") == "hello world é".encode() and clean(None) == b""
+    assert clean("„Été“ — ok… 😀 ٣ x\u00a0y") == "été ok x y".encode() and clean("हिन्दी।") == "हिन्दी".encode()
 
 
 def test_language_with_long_documents_only(make_docs):

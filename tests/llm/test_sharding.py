@@ -57,3 +57,41 @@ def test_payload_keeps_columns_and_empty_table(make_docs, mixed_rows):
     out = shard(docs, payload=True)
     assert out.columns == [*docs.columns, "shard", "slot", "grown_shard"] and out.count() == len(mixed_rows)
     assert shard(make_docs([])).count() == 0
+
+
+def test_tree_equals_brute_force(spark):
+    """The descent, recomputed with another implementation of the hash."""
+    import math
+
+    import xxhash
+
+    def u(node, key):
+        h = xxhash.xxh64_intdigest(key.encode(), seed=xxhash.xxh64_intdigest(node.encode(), seed=42))
+        return ((h >> 11) + 0.5) / 2**53
+
+    def descend(key, regions):
+        names, at = regions, "root"
+        path = []
+        while isinstance(names, tuple):
+            total = lambda x: x if isinstance(x, float) else sum(map(total, x))
+            draws = [(-math.log(u(f"{at}/{i}", key)) / total(x), i) for i, x in enumerate(names)]
+            i = min(draws)[1]
+            path.append(i)
+            names, at = names[i], f"{at}/{i}"
+        before = sum(len(k) for r in regions[: path[0]] for k in r) + sum(len(k) for k in regions[path[0]][: path[1]])
+        return before + path[2]
+
+    tree = even_tree(40)
+    docs = spark.range(0, 3000, 1, 7).selectExpr("if(id % 100 = 7, null, id * 977) as doc_id", "'t' as text")
+    for r in shard(docs).select("doc_id", "shard", "grown_shard").collect():
+        key = "null" if r.doc_id is None else str(r.doc_id)
+        assert (r.shard, r.grown_shard) == (descend(key, tree.regions), descend(key, tree.grown().regions))
+
+
+def test_repeated_ids_and_rows_make_no_bucket_hot(spark):
+    docs = spark.range(6000).selectExpr("cast(null as long) as doc_id", "if(id < 3000, 'same', concat('t', id)) as text")
+    for out in (shard(docs), shard(docs, payload=True)):
+        rows = out.collect()
+        assert len(rows) == 6000 and len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(6000))
+    first = sorted((r.text_crc32, r.slot) for r in shard(docs).collect())
+    assert first == sorted((r.text_crc32, r.slot) for r in shard(docs.repartition(13)).collect())

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -33,13 +35,29 @@ def test_held_out_accuracy_and_located_sentences():
 
 
 def test_score_is_the_noisy_or_of_sentences():
+    """Against a plain computation from the weights, without the scorer."""
     texts, labels = corpus()
     model = fit(texts, labels)
-    text = texts[0]
-    clean = 1.0
-    for s in text.lower().split("."):
-        clean *= 1 - Scorer(model).score(s)[0]
-    assert abs(Scorer(model).score(text)[0] - (1 - clean)) < 1e-9
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            own = set()
+            for w in re.findall(r"[a-z0-9]+", sentence):
+                own |= {w, *("^" + w[:n] for n in (4, 5, 6) if len(w) >= n)}
+            if own:
+                clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(model.weights.get(f, 0) for f in own))))
+        return 1 - clean
+
+    for text in [*texts[:60], "VileGrub! word1? rottenham", "", "..."]:
+        assert abs(Scorer(model).score(text)[0] - plain(text)) < 1e-9
+
+
+def test_spans_count_characters_of_the_text():
+    model = fit(*corpus())
+    text = "İİİ word1. İ vilegrub İ. word2"
+    (a, e, p), = Scorer(model).score(text)[1]
+    assert len(text.lower()) != len(text) and text[a:e] == "İ vilegrub İ" and p >= 0.5
 
 
 def test_defined_results():

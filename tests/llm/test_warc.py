@@ -18,7 +18,7 @@ def test_chunked_round_trip(body, size):
 
 def test_dechunked_edges():
     assert dechunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
-    for cut in (b"", b"5\r\nabc", b"3\r\nabc\r\n"):
+    for cut in (b"", b"5\r\nabc", b"3\r\nabc\r\n", b"3\r\nabc\r\n0\r\n", b"3\r\nabc\r\n0\r\nTrailer: x\r\n", b"-3\r\nabc\r\n0\r\n\r\n", b"\r\n\r\n"):
         with pytest.raises(ValueError):
             dechunked(cut)
 
@@ -75,3 +75,24 @@ def test_lost_segments_are_noticed(spark):
     got = read_archives(spark.createDataFrame(damaged, "batch string, archive string, data binary")).collect()
     assert [(r.page_id, r.complete) for r in got] == [(1, False)]
     assert read_archives(write_archives(pages.limit(0))).count() == 0
+
+
+def test_orphans_and_damage_are_rows(spark):
+    from riskloom.llm.warc import salvaged
+
+    pages = spark.createDataFrame([(1, "u", "q" * 5000, "", ""), (2, "u", "short", "", "")], PAGES).coalesce(1)
+    archives = {a.archive[-9]: tuple(a) for a in write_archives(pages, Layout(segment=1000)).collect()}
+    read = lambda *rows: sorted(((r.page_id, r.record_type, r.complete, r.segments) for r in read_archives(spark.createDataFrame(list(rows), "batch string, archive string, data binary")).collect()), key=str)
+    assert read(archives["b"]) == [(1, "continuation", False, 5)]
+    parts = list(members(archives["a"][2]))
+    assert len(parts) == 3  # warcinfo and two responses
+    parts[1:] = sorted(parts[1:], key=lambda p: b"page:1>" not in p)
+    for bad in (b"nonsense", parts[1].replace(b"Content-Length: ", b"Content-Length: x"), parts[1].replace(b"WARC-Type: response\r\n", b"")):
+        data = bytearray(b"".join(map(member, [parts[0], bad, parts[2]])))
+        assert read((*archives["a"][:2], data), archives["b"]) == sorted([(1, "continuation", False, 5), (2, "response", True, 1), (None, "damaged", False, 0)], key=str)
+    packed = [member(p) for p in parts]
+    flipped = bytearray(packed[1])
+    flipped[20] ^= 0xFF
+    assert [p is None for p in salvaged(packed[0] + bytes(flipped) + packed[2])][-1] is False
+    assert (2, "response", True, 1) in read((*archives["a"][:2], bytearray(packed[0] + bytes(flipped) + packed[2])))
+    assert read((*archives["a"][:2], None)) == []
