@@ -1,22 +1,25 @@
 """Exact n-gram Jaccard self-join of documents, returned as connected classes.
 
 A document's set holds its distinct shingles of five words. Two sets link when their intersection is at least
-``threshold`` percent of their union. The join is a T-occurrence search: sets of n shingles must share T of
-them, so L = T - 1 of a document's inverted lists may be skipped while lists are merged (DivideSkip takes the
-longest), and every partner still turns up in at least T - L = 1 of the short ones. The steps:
+``threshold`` percent of their union. The join is a T-occurrence search by DivideSkip: sets of n shingles
+must share T of them, so of a document's inverted lists the L = T - 1 longest are set apart, the short rest is merged, and every
+partner turns up in at least T - L = 1 of the short lists. A candidate's count in the short lists is then made whole by binary
+search in its long ones, unless it can't reach T any more. The steps:
 
 1. Shingles are hashed in bulk and counted over the whole corpus in hash buckets (packed arrays, so that the
-   shuffle moves four bytes a shingle). This gives every list its length.
+   shuffle moves six bytes a shingle). This gives every list its length.
 2. Each document keeps its T - L shortest lists in one global order (length class, then hash). Lists of length
    one are dropped: they have no partner.
 3. The short lists are merged by the shuffle (the cluster's heap merge) into pairs. In every list all documents
    meet a few hubs, which is a few pairs a posting; pairs that length or position rule out are dropped.
-4. A pair's long lists are probed by binary search in the partner's sorted set, which gives the exact overlap.
+4. For each pair the shared short lists are counted (T-occurrence). If the long lists can still make up the overlap that the two
+   sizes require, the partner is searched in them, which gives the exact overlap.
 5. Links are contracted to classes, and steps 3 and 4 go on with other hubs for the lists that still hold several
    classes. When few of the pairs with hubs still link, all pairs of different classes that share a list are
    compared, so no link between classes is lost.
 
-Equal sets are merged before step 2. Nothing but counts reaches the driver.
+Equal sets are merged before step 2. Overlaps are counted on hashes of 46 bits at every size of the table. Nothing but counts
+reaches the driver.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import attach, stash
+from riskloom.llm.common import attach, release, stash
 
 WIDTH = 5
+#: Bits of a shingle's hash that lists are told apart by.
+KEY_BITS = 46
 _CHUNK_DOCS, _CHUNK_BYTES = 2048, 8 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -54,8 +59,10 @@ _POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 16)
+    size = 1 << 21  # what is kept; longer texts get their own
+    if n > size:
+        return tuple(np.cumprod(np.full(n, p, dtype=np.uint64)) for p in (_PRIME, _INVERSE))
+    if not _POWERS:
         _POWERS[:] = [np.cumprod(np.full(size, p, dtype=np.uint64)) for p in (_PRIME, _INVERSE)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
@@ -136,86 +143,128 @@ def _parts(texts: list, size: int = 1 << 20) -> Iterator[list]:
         yield part
 
 
-_PACKED = "chunk long, bucket int, docs binary, counts binary, hashes binary"
+_PACKED = "chunk long, bucket int, docs binary, owners binary, lows binary, highs binary"
+
+
+def steps(numbers: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending numbers as bytes: each is a step from the one before (from 0 at each of ``starts``), 255 standing for a step
+    that goes on. Returns the bytes and, of each number, the place behind its last byte."""
+    step = np.diff(numbers, prepend=0)
+    step[starts] = numbers[starts]
+    ends = np.cumsum(step // 255 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, dtype=np.uint8)
+    out[ends - 1] = step % 255
+    return out, ends
+
+
+def walked(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    """The numbers that ``steps`` has packed, of consecutive runs with so many numbers each."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    total = np.cumsum(raw, dtype=np.int64)[raw != 255]
+    lasts = np.cumsum(sizes)
+    before = np.concatenate(([0], total))[(lasts - sizes)]
+    return total - np.repeat(before, sizes)
 
 
 def _pack(bits: int, width: int):
-    """Sets by hash bucket: of each chunk of documents one row a bucket, with 32 further bits of each hash."""
+    """Sets by hash bucket: of each chunk of documents one row a bucket, with the further bits of each hash."""
+    rest = KEY_BITS - bits
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for k, (ids, texts) in enumerate(_chunks(batches)):
             sets = [x for part in _parts(texts) for x in shingle_sets(part, width)]
             sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
             every = np.concatenate(sets)
-            bucket = (every >> np.uint64(64 - bits)).astype(np.uint16)
-            counts = np.bincount(np.repeat(np.arange(len(sets)), sizes) * (1 << bits) + bucket, minlength=len(sets) << bits).reshape(len(sets), 1 << bits).astype(np.uint32)
+            bucket = (every >> np.uint64(64 - bits)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            low = ((every >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-            ends = np.cumsum(counts.sum(axis=0, dtype=np.int64))
+            bucket = bucket[order]
+            starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, dtype=np.int64)
+            ends = np.concatenate((starts[1:], [len(bucket)])) if len(bucket) else starts
+            low = (every[order] >> np.uint64(64 - KEY_BITS)) & np.uint64((1 << rest) - 1)
+            highs = (low >> np.uint64(32)).astype(np.uint8)
+            lows = low.astype(np.uint32)
+            owners, places = steps(np.repeat(np.arange(len(sets), dtype=np.int64), sizes)[order], starts)
             digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
             docs = np.array(ids, dtype=np.int64).tobytes() + sizes.tobytes() + digests
             chunk = (TaskContext.get().partitionId() << 32) + k
-            rows = [(b, low[e - n : e]) for b, (e, n) in enumerate(zip(ends.tolist(), counts.sum(axis=0, dtype=np.int64).tolist(), strict=True)) if n or b == 0]
+            # the documents travel with bucket 0, which is there for every chunk
+            rows = [(-1, 0, 0)] if not len(bucket) or bucket[0] else []
+            rows += list(zip(bucket[starts].tolist(), starts.tolist(), ends.tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk] * len(rows), pa.int64()),
-                    pa.array([b for b, _ in rows], pa.int32()),
-                    pa.array([docs if b == 0 else b"" for b, _ in rows], pa.binary()),
-                    pa.array([counts[:, b].tobytes() for b, _ in rows], pa.binary()),
-                    pa.array([x.tobytes() for _, x in rows], pa.binary()),
+                    pa.array([max(b, 0) for b, _, _ in rows], pa.int32()),
+                    pa.array([docs if j == 0 else b"" for j in range(len(rows))], pa.binary()),
+                    pa.array([owners[places[x - 1] if x else 0 : places[y - 1]].tobytes() if y > x else b"" for _, x, y in rows], pa.binary()),
+                    pa.array([lows[x:y].tobytes() for _, x, y in rows], pa.binary()),
+                    pa.array([highs[x:y].tobytes() if rest > 32 else b"" for _, x, y in rows], pa.binary()),
                 ],
-                names=["chunk", "bucket", "docs", "counts", "hashes"],
+                names=["chunk", "bucket", "docs", "owners", "lows", "highs"],
             )
 
     return pack
 
 
+def _low(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows without their bucket, and their number in each row."""
+    lows = np.frombuffer(b"".join(rows["lows"]), dtype=np.uint32).astype(np.uint64)
+    highs = np.frombuffer(b"".join(rows["highs"]), dtype=np.uint8)
+    if len(highs):
+        lows |= highs.astype(np.uint64) << np.uint64(32)
+    return lows, np.fromiter((len(x) // 4 for x in rows["lows"]), dtype=np.int64, count=len(rows))
+
+
 def _lengths(rows: pd.DataFrame) -> pd.DataFrame:
     """Within one bucket: the length class of each hash's list, floor(log2(length))."""
-    parts = [np.frombuffer(h, dtype=np.uint32) for h in rows["hashes"]]
-    every = np.concatenate(parts)
+    every, sizes = _low(rows)
     order = np.argsort(every)
     ranked = every[order]
     starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1]))) if len(every) else np.zeros(0, dtype=np.int64)
     counts = np.diff(np.concatenate((starts, [len(every)])))
     classes = np.empty(len(every), dtype=np.uint8)
     classes[order] = np.repeat(np.floor(np.log2(np.maximum(counts, 1))).astype(np.uint8), counts)
-    rows["classes"] = [c.tobytes() for c in np.split(classes, np.cumsum([len(p) for p in parts])[:-1])]
+    rows["classes"] = [c.tobytes() for c in np.split(classes, np.cumsum(sizes)[:-1])]
     return rows
 
 
-_DOCS = "doc_id long, n_shingles long, digest binary, size int, keys array<long>, places array<int>, members binary"
+_DOCS = "doc_id long, n_shingles long, digest binary, size int, keys array<long>, places array<int>, members binary, shorts binary"
 
 
-def _shortest(threshold: int):
-    """Of each document of a chunk the short lists that have partners, and, where it has any, its whole set."""
+def _shortest(threshold: int, bits: int):
+    """Of each document of a chunk the short lists that have partners, and, where it has any, its whole set with a mark on the
+    members whose lists are short."""
 
     def shortest(rows: pd.DataFrame) -> pd.DataFrame:
-        head = rows.loc[rows["bucket"] == 0, "docs"].iat[0]
+        head = next(d for d in rows["docs"] if d)
         n = len(head) // 32
         ids, exact = np.frombuffer(head, dtype=np.int64, count=n), np.frombuffer(head, dtype=np.int64, count=n, offset=8 * n)
         digests = [head[16 * n + 16 * i : 16 * n + 16 * i + 16] for i in range(n)]
-        packed = []
-        for bucket, counts, hashes, classes in zip(rows["bucket"], rows["counts"], rows["hashes"], rows["classes"], strict=True):
-            owner = np.repeat(np.arange(n, dtype=np.uint64), np.frombuffer(counts, dtype=np.uint32))
-            key = (np.uint64(bucket) << np.uint64(32)) | np.frombuffer(hashes, dtype=np.uint32).astype(np.uint64)
-            packed.append((owner << np.uint64(52)) | (np.frombuffer(classes, dtype=np.uint8).astype(np.uint64) << np.uint64(46)) | key)
-        ranked = np.sort(np.concatenate(packed))  # document (12 bits), class (6), hash (46)
+        low, sizes = _low(rows)
+        owner = walked(b"".join(rows["owners"]), sizes).astype(np.uint64)
+        key = np.repeat(rows["bucket"].to_numpy().astype(np.uint64), sizes) << np.uint64(KEY_BITS - bits) | low
+        classes = np.frombuffer(b"".join(rows["classes"]), dtype=np.uint8).astype(np.uint64)
+        ranked = np.sort(owner << np.uint64(52) | classes << np.uint64(KEY_BITS) | key)  # document (12 bits), class (6), hash (46)
         owner = (ranked >> np.uint64(52)).astype(np.int64)
         first = np.searchsorted(owner, np.arange(n + 1))
         size = np.diff(first)
         keep = size - (threshold * size + 99) // 100 + 1
         place = np.arange(len(ranked)) - first[owner]
-        key = (ranked & np.uint64((1 << 46) - 1)).astype(np.int64)
-        short = (place < keep[owner]) & (((ranked >> np.uint64(46)) & np.uint64(63)) > 0)
-        begin = np.concatenate(([0], np.cumsum(short)))
-        keys, places = key[short], place[short]
+        key = (ranked & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64)
+        short = place < keep[owner]
+        shared = short & (((ranked >> np.uint64(KEY_BITS)) & np.uint64(63)) > 0)
+        begin = np.concatenate(([0], np.cumsum(shared)))
+        keys, places = key[shared], place[shared]
         out = []
         for i in range(n):
             a, b = begin[first[i]], begin[first[i + 1]]
-            some = b > a
-            out.append((ids[i], exact[i], digests[i] if size[i] else None, size[i], keys[a:b] if some else None, places[a:b] if some else None, np.sort(key[first[i] : first[i + 1]]).tobytes() if some else None))
-        return pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "size", "keys", "places", "members"])
+            row = [ids[i], exact[i], digests[i] if size[i] else None, size[i], None, None, None, None]
+            if b > a:
+                own = slice(first[i], first[i + 1])
+                order = np.argsort(key[own])
+                row[4:] = keys[a:b], places[a:b], key[own][order].tobytes(), np.packbits(short[own][order]).tobytes()
+            out.append(tuple(row))
+        return pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "size", "keys", "places", "members", "shorts"])
 
     return shortest
 
@@ -230,14 +279,22 @@ def probe(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
+def occurrences(a: np.ndarray, short: np.ndarray, b: np.ndarray, need: int) -> int:
+    """In how many lists of ``a`` the partner ``b`` is: the ``short`` ones are counted, and the long ones are probed if they can
+    still make up ``need``; otherwise the count of the short ones is returned, which is then below it."""
+    found, rest = probe(a[short], b), a[~short]
+    return found + probe(rest, b) if found + len(rest) >= need else found
+
+
 def _verify(threshold: int):
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             keep = []
-            for x, y in zip(left, right, strict=True):
-                p, q = np.frombuffer(x, dtype=np.int64), np.frombuffer(y, dtype=np.int64)
-                keep.append(linked(probe(p, q), len(p), len(q), threshold))
+            for x, marks, y in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), dtype=np.int64), np.frombuffer(y.as_buffer(), dtype=np.int64)
+                short = np.unpackbits(np.frombuffer(marks.as_buffer(), dtype=np.uint8), count=len(p)).astype(bool)
+                need = -(-threshold * (len(p) + len(q)) // (100 + threshold))
+                keep.append(linked(occurrences(p, short, q, need), len(p), len(q), threshold))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return verify
@@ -321,10 +378,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows, nameless = given.where("doc_id is not null"), given.where("doc_id is null").mapInArrow(_counted(width), "doc_id long, n_shingles long, component_id long")
-    bits = max(6, min(13, (max(1, docs.count()) // 2000).bit_length()))
+    # a bucket holds the shingles of about 2,000 documents, up to a quarter of a billion documents, and more of them beyond
+    bits = max(6, min(17, (max(1, docs.count()) // 2000).bit_length()))
     packed = rows.mapInArrow(_pack(bits, width), _PACKED)
     ranked = packed.groupBy("bucket").applyInPandas(_lengths, _PACKED + ", classes binary")
-    sets = stash(ranked.groupBy("chunk").applyInPandas(_shortest(threshold), _DOCS), "sets")
+    sets = stash(ranked.groupBy("chunk").applyInPandas(_shortest(threshold, bits), _DOCS), "sets")
 
     firsts = stash(attach(sets.select("doc_id", "n_shingles", "digest"), "digest", "doc_id", {"first": (F.col("doc_id"), "min")}), "firsts").select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("first"))
     lone = firsts.where("doc_id = first").select("doc_id").distinct()
@@ -332,7 +390,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lists = held.select(F.col("doc_id").alias("doc"), "size", F.explode(F.arrays_zip("keys", "places")).alias("z")).select("doc", "size", F.col("z.keys").alias("key"), F.col("z.places").alias("place")).distinct()
     shared = attach(lists.withColumn("one", F.lit(1)), "key", "doc", {"__n": (F.col("one"), "sum")}).where("__n > 1").drop("__n", "one")
     postings = stash(shared.withColumn("class", F.col("doc")), "postings")
-    members = sets.where(F.col("keys").isNotNull()).select(F.col("doc_id").alias("doc"), "members")
+    members = sets.where(F.col("keys").isNotNull()).select(F.col("doc_id").alias("doc"), "members", "shorts")
 
     links, rank, last = None, 0, False
     while True:
@@ -340,8 +398,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         count = hubs if rank else 1
         pairs = stash(_list_pairs(lists, threshold) if last else _hub_pairs(lists, threshold, range(rank, rank + count)), "pairs")
         rank += count
-        full = pairs.join(members.withColumnRenamed("doc", "a").withColumnRenamed("members", "x"), "a").join(members.withColumnRenamed("doc", "b").withColumnRenamed("members", "y"), "b")
-        found = stash(full.select("a", "b", "x", "y").mapInArrow(_verify(threshold), "a long, b long"), "found")
+        left = members.select(F.col("doc").alias("a"), F.col("members").alias("x"), F.col("shorts").alias("marks"))
+        right = members.select(F.col("doc").alias("b"), F.col("members").alias("y"))
+        full = pairs.join(left, "a").join(right, "b")
+        found = stash(full.select("a", "b", "x", "marks", "y").mapInArrow(_verify(threshold), "a long, b long"), "found")
         links = found if links is None else links.unionByName(found)
         grew = found.count()
         if grew:

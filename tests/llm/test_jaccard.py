@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from riskloom.llm.jaccard import components, jaccard_classes, linked, probe, shingle_sets
+from riskloom.llm.jaccard import components, jaccard_classes, linked, occurrences, probe, shingle_sets, steps, walked
 
 import numpy as np
 
@@ -114,3 +114,31 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+@given(st.lists(st.lists(st.integers(0, 4000), max_size=30), max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_packed_owners_round_trip(runs):
+    runs = [sorted(r) for r in runs]
+    numbers = np.array([x for r in runs for x in r], dtype=np.int64)
+    sizes = np.array([len(r) for r in runs], dtype=np.int64)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    data, ends = steps(numbers, starts)
+    assert walked(data.tobytes(), sizes).tolist() == numbers.tolist() and len(ends) == len(numbers)
+
+
+@given(st.sets(st.integers(0, 60)), st.sets(st.integers(0, 60)), st.integers(0, 100), st.integers(0, 60))
+@settings(max_examples=200, deadline=None)
+def test_occurrences_by_merge_and_probe(a, b, seed, need):
+    x, y = (np.array(sorted(s), dtype=np.int64) for s in (a, b))
+    short = np.array([random.Random(seed + int(v)).random() < 0.4 for v in x], dtype=bool)
+    got = occurrences(x, short, y, need)
+    assert got == len(a & b) or (got < need and len(a & b) < need)
+
+
+def test_a_list_that_all_documents_share(make_docs):
+    """A common passage and nothing else alike: no link, and copies among them still found."""
+    rng = random.Random(12)
+    shared = " ".join(f"common{k}" for k in range(60))
+    rows = [(i, f"{' '.join(f'u{rng.randrange(10**6)}' for _ in range(10))} {shared}" if i % 3 else f"{shared} tail{i // 6}", "en", "s") for i in range(300)]
+    check(make_docs, rows)

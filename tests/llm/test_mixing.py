@@ -85,3 +85,43 @@ def test_query_returns_the_shards(spark):
 def test_empty_table(make_docs):
     assert plan(make_docs([])).count() == 0
     assert mix(make_docs([])).count() == 0
+
+
+def test_sizes_equal_sql(make_docs, mixed_rows, tmp_path):
+    """size, source_size and, below the cap, target against DuckDB."""
+    duckdb = pytest.importorskip("duckdb")
+    docs = make_docs(mixed_rows, extra=False)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    sql = f"""WITH s AS (SELECT doc_id, source, len(regexp_extract_all(COALESCE(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM '{tmp_path}/documents.parquet/*.parquet'),
+    t AS (SELECT source, SUM(size) AS source_size, 1 + (ROW_NUMBER() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS w FROM s GROUP BY 1)
+    SELECT doc_id, size, source_size, w, SUM(size) OVER () AS total FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source"""
+    expected = duckdb.sql(sql).fetchall()
+    got = plan(docs).collect()
+    assert Counter((r.doc_id, r["size"], r.source_size) for r in got) == Counter((i, n, int(m)) for i, n, m, *_ in expected)
+    # the targets by a plain bisection of the level at which shares sum to the total
+    sources = {(int(m), w) for _, _, m, w, _ in expected}
+    by_source = {}
+    for r in got:
+        by_source[r.source] = (r.source_size, r.target)
+    weights = {s: 1 + k % 3 for k, s in enumerate(sorted(by_source, key=lambda s: (s is None, s or "")))}
+    total, lo, hi = sum(m for m, _ in by_source.values()), 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(3 * m, mid * weights[s]) for s, (m, _) in by_source.items()) < total else (lo, mid)
+    assert all(t == pytest.approx(min(3 * m, hi * weights[s]), rel=1e-6) for s, (m, t) in by_source.items()) and sources
+
+
+def test_a_source_without_ids_meets_its_target(make_docs):
+    rng = random.Random(7)
+    rows = [(None if i % 2 else i, "w " * rng.randrange(1, 60) + str(i), "en", "hot" if i % 3 else "rare") for i in range(900)]
+    docs = make_docs(rows, extra=False)
+    got = plan(docs, MixConfig(block_docs=8)).collect()
+    for source in ("hot", "rare"):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(2, 0.01 * own[0].target)
+    assert Counter(r.text for r in mix(docs, MixConfig(block_docs=8)).collect()).total() == sum(r.copies for r in got)
+
+
+def test_shards_grow_with_the_words(make_docs):
+    assert MixConfig().sized(10).shards == 64 and MixConfig().sized(100 << 24).shards == 100 and MixConfig(shards=3).sized(1 << 40).shards == 3
+    assert mix(make_docs([(i, "w w w", "en", "s") for i in range(50)]), MixConfig(shard_words=1)).rdd.getNumPartitions() == 150
