@@ -27,7 +27,12 @@ def component_pnl(exposures: DataFrame, returns: DataFrame) -> DataFrame:
 
 def historical_pnl(exposures: DataFrame, returns: DataFrame) -> DataFrame:
     """P&L, loss (never clipped) and observation number per run and scenario date."""
-    rows = component_pnl(exposures, returns).groupBy("run_id", "scenario_date").agg(F.sum("pnl").alias("pnl"), F.max("prior_date").alias("prior_date"))
+    return price_scenarios(component_pnl(exposures, returns))
+
+
+def price_scenarios(components: DataFrame) -> DataFrame:
+    """``historical_pnl`` of components that are there already."""
+    rows = components.groupBy("run_id", "scenario_date").agg(F.sum("pnl").alias("pnl"), F.max("prior_date").alias("prior_date"))
     by_date = Window.partitionBy("run_id").orderBy("scenario_date")
     return rows.withColumn("loss", -F.col("pnl")).withColumn("observation", F.row_number().over(by_date))
 

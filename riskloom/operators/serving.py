@@ -25,6 +25,19 @@ def exactly_one_run(runs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("run_count")).withColumn("is_single", F.col("run_count") == 1)
 
 
+def bundle(runs: DataFrame, measures: DataFrame, results: DataFrame) -> dict[str, DataFrame]:
+    """The measures and stress results of the selected runs, beside what the runs say of themselves (joined by run_id)."""
+    return {"var": runs.join(measures, "run_id"), "stress": runs.drop("static_nav").join(results, "run_id")}
+
+
+def bundle_completeness(runs: DataFrame, var: DataFrame, stress: DataFrame, levels: int, scenarios: int) -> DataFrame:
+    """Per run the served measures and stress results, and whether they are as many as expected."""
+    a = var.groupBy("run_id").agg(F.count_distinct("confidence_level").alias("levels"))
+    b = stress.groupBy("run_id").agg(F.count_distinct("scenario_id").alias("scenarios"))
+    rows = runs.select("run_id").join(a, "run_id", "left").join(b, "run_id", "left").select("run_id", F.coalesce("levels", F.lit(0)).alias("levels"), F.coalesce("scenarios", F.lit(0)).alias("scenarios"))
+    return rows.withColumn("is_complete", (F.col("levels") == levels) & (F.col("scenarios") == scenarios))
+
+
 def key_checks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One row: rows, distinct keys without nulls, duplicate and null keys of a served frame."""
     null_key = ~F.lit(True)

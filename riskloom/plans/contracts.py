@@ -73,38 +73,186 @@ def _any(parts: list[Column]) -> Column:
 
 
 _ID = r"^[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)*$"
-_SEMVER = r"^[0-9]+\.[0-9]+\.[0-9]+$"
 
 
-def _f(text: str) -> tuple[Field, ...]:
-    """Fields from ``name:type`` words; a type that ends in ? is nullable."""
+def _fields(text: str, allowed: dict[str, tuple[str, ...]]) -> tuple[Field, ...]:
+    """Fields from lines of a name and, unless it is a string, a type; one that ends in ? is nullable."""
     out = []
-    for word in text.split():
-        name, _, kind = word.partition(":")
-        out.append(Field(name, kind.rstrip("?") or "string", kind.endswith("?"), pattern=_ID if name in ("portfolio_id", "instrument_id", "scenario_id") else _SEMVER if name.endswith("_version") else ""))
+    for line in text.split("\n"):
+        name, _, kind = line.strip().partition(" ")
+        if name:
+            pattern = _ID if name in ("portfolio_id", "instrument_id", "scenario_id") else ""
+            out.append(Field(name, kind.rstrip("?") or "string", kind.endswith("?"), allowed.get(name, ()), pattern))
     return tuple(out)
 
 
-def _hashed(fields: tuple[Field, ...]) -> tuple[str, ...]:
-    return tuple(f.name for f in fields if f.name != "record_hash")
+def _contract(name: str, prefix: str, key: str, fields: str, raw_hash: bool = False, allowed: dict[str, tuple[str, ...]] | None = None) -> Contract:
+    parsed = _fields(fields, allowed or {})
+    return Contract(name, "1.0.0", parsed, tuple(key.split()), tuple(f.name for f in parsed if f.name != "record_hash"), raw_hash, prefix)
 
 
-def _contract(name: str, fields: str, key: str, raw_hash: bool = False) -> Contract:
-    parsed = _f(fields)
-    return Contract(name, "1.0.0", parsed, tuple(key.split()), _hashed(parsed), raw_hash)
+# Fixed names, types and closed lists of the domain's datasets.
 
+PORTFOLIOS = _contract(
+    "portfolios", "PORTFOLIO", "portfolio_id",
+    """
+    portfolio_id
+    portfolio_name
+    strategy_code
+    base_currency
+    target_inception_date date
+    actual_inception_date date?
+    initial_nav decimal(18,2)
+    target_long_ratio decimal(12,10)
+    target_short_ratio decimal(12,10)
+    target_gross_ratio decimal(12,10)
+    target_net_ratio decimal(12,10)
+    rebalance_policy
+    cash_policy
+    is_active boolean
+    config_version
+    record_hash
+    """,
+    raw_hash=True,
+    allowed={
+        "strategy_code": ("LONG_ONLY", "LONG_SHORT_130_30"),
+        "base_currency": ("USD",),
+        "rebalance_policy": ("BUY_AND_HOLD",),
+        "cash_policy": ("RETAIN_DIVIDENDS_NO_INTEREST",),
+    },
+)
 
-#: Fixed names and types of the domain's datasets.
-CONTRACTS = {
-    c.name: c
-    for c in (
-        _contract("portfolios", "portfolio_id portfolio_name strategy_code base_currency target_inception_date:date actual_inception_date:date? initial_nav:decimal(18,2) target_long_ratio:decimal(12,10) target_short_ratio:decimal(12,10) target_gross_ratio:decimal(12,10) target_net_ratio:decimal(12,10) rebalance_policy cash_policy is_active:boolean config_version record_hash", "portfolio_id", raw_hash=True),
-        _contract("instruments", "instrument_id display_symbol yfinance_symbol instrument_name asset_class security_type exchange_mic quote_currency issuer_country_code official_sector_name risk_cluster_id classification_source classification_as_of_date:date active_from:date active_to:date? is_active:boolean config_version record_hash", "instrument_id"),
-        _contract("target_allocations", "portfolio_id instrument_id effective_from:date effective_to:date? target_weight:decimal(12,10) allocation_version record_hash", "portfolio_id instrument_id effective_from"),
-        _contract("stress_scenarios", "scenario_id scenario_name scenario_description scenario_type is_active:boolean scenario_version effective_from:date effective_to:date? record_hash", "scenario_id"),
-        _contract("stress_scenario_shocks", "scenario_id instrument_id shock_ratio:decimal(12,10) shock_rationale scenario_version record_hash", "scenario_id instrument_id"),
-        _contract("daily_prices", "instrument_id price_date:date source_id source_symbol open_price:decimal(20,8) high_price:decimal(20,8) low_price:decimal(20,8) close_price:decimal(20,8) adjusted_close_price:decimal(20,8) volume:bigint? quote_currency source_updated_at_utc:timestamp? source_record_id record_hash", "instrument_id price_date source_id"),
-        _contract("corporate_actions", "instrument_id effective_date:date action_type source_id source_symbol dividend_amount_per_share:decimal(20,8)? dividend_currency:string? split_ratio:decimal(20,10)? source_action_id:string? source_updated_at_utc:timestamp? source_record_id record_hash", "instrument_id effective_date action_type source_id"),
-        _contract("trading_calendar", "exchange_mic calendar_date:date is_trading_day:boolean market_open_utc:timestamp? market_close_utc:timestamp? is_early_close:boolean holiday_name:string? exchange_timezone calendar_source calendar_version generated_at_utc:timestamp record_hash", "exchange_mic calendar_date"),
-    )
-}
+INSTRUMENTS = _contract(
+    "instruments", "INSTRUMENT", "instrument_id",
+    """
+    instrument_id
+    display_symbol
+    yfinance_symbol
+    instrument_name
+    asset_class
+    security_type
+    exchange_mic
+    quote_currency
+    issuer_country_code
+    official_sector_name
+    risk_cluster_id
+    classification_source
+    classification_as_of_date date
+    active_from date
+    active_to date?
+    is_active boolean
+    config_version
+    record_hash
+    """,
+    allowed={
+        "asset_class": ("EQUITY",),
+        "security_type": ("COMMON_STOCK", "ADR"),
+        "exchange_mic": ("XNAS", "XNYS"),
+        "quote_currency": ("USD",),
+        "issuer_country_code": ("US", "TW"),
+        "official_sector_name": (
+            "Communication Services", "Consumer Discretionary", "Consumer Staples", "Energy", "Financials", "Health Care", "Industrials", "Information Technology",
+        ),
+        "risk_cluster_id": (
+            "SYSTEMIC_CORE_TECHNOLOGY", "SEMICONDUCTOR_INFRASTRUCTURE", "CONSUMER_AND_LOGISTICS", "HEALTHCARE_AND_POLICY_SENSITIVITY", "FINANCIAL_FOUNDATIONS", "MACRO_AND_GEOPOLITICAL_SENSITIVITY",
+        ),
+    },
+)
+
+TARGET_ALLOCATIONS = _contract(
+    "target_allocations", "ALLOCATION", "portfolio_id instrument_id effective_from",
+    """
+    portfolio_id
+    instrument_id
+    effective_from date
+    effective_to date?
+    target_weight decimal(12,10)
+    allocation_version
+    record_hash
+    """,
+)
+
+STRESS_SCENARIOS = _contract(
+    "stress_scenarios", "SCENARIO", "scenario_id",
+    """
+    scenario_id
+    scenario_name
+    scenario_description
+    scenario_type
+    is_active boolean
+    scenario_version
+    effective_from date
+    effective_to date?
+    record_hash
+    """,
+)
+
+STRESS_SCENARIO_SHOCKS = _contract(
+    "stress_scenario_shocks", "SHOCK", "scenario_id instrument_id",
+    """
+    scenario_id
+    instrument_id
+    shock_ratio decimal(12,10)
+    shock_rationale
+    scenario_version
+    record_hash
+    """,
+)
+
+DAILY_PRICES = _contract(
+    "daily_prices", "PRICE", "instrument_id price_date source_id",
+    """
+    instrument_id
+    price_date date
+    source_id
+    source_symbol
+    open_price decimal(20,8)
+    high_price decimal(20,8)
+    low_price decimal(20,8)
+    close_price decimal(20,8)
+    adjusted_close_price decimal(20,8)
+    volume bigint?
+    quote_currency
+    source_updated_at_utc timestamp?
+    source_record_id
+    record_hash
+    """,
+)
+
+CORPORATE_ACTIONS = _contract(
+    "corporate_actions", "ACTION", "instrument_id effective_date action_type source_id",
+    """
+    instrument_id
+    effective_date date
+    action_type
+    source_id
+    source_symbol
+    dividend_amount_per_share decimal(20,8)?
+    dividend_currency string?
+    split_ratio decimal(20,10)?
+    source_action_id string?
+    source_updated_at_utc timestamp?
+    source_record_id
+    record_hash
+    """,
+)
+
+TRADING_CALENDAR = _contract(
+    "trading_calendar", "CALENDAR", "exchange_mic calendar_date",
+    """
+    exchange_mic
+    calendar_date date
+    is_trading_day boolean
+    market_open_utc timestamp?
+    market_close_utc timestamp?
+    is_early_close boolean
+    holiday_name string?
+    exchange_timezone
+    calendar_source
+    calendar_version
+    generated_at_utc timestamp
+    record_hash
+    """,
+)
+
+CONTRACTS = {c.name: c for c in (PORTFOLIOS, INSTRUMENTS, TARGET_ALLOCATIONS, STRESS_SCENARIOS, STRESS_SCENARIO_SHOCKS, DAILY_PRICES, CORPORATE_ACTIONS, TRADING_CALENDAR)}

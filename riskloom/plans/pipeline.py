@@ -63,7 +63,8 @@ def digest(df: DataFrame, keys: list[str]) -> tuple[int, str]:
     return (int(found["rows"]), found["digest"]) if found else (0, "")
 
 
-def _attempt(store: SnapshotStore, dataset: str) -> int:
+def next_attempt(store: SnapshotStore, dataset: str) -> int:
+    """One more than the runs of the dataset so far."""
     return 1 + (store.read("runs").where(F.col("dataset") == dataset).count() if store.exists("runs") else 0)
 
 
@@ -83,7 +84,7 @@ def publish(store: SnapshotStore, dataset: str, prospective: DataFrame, keys: li
         failures.require(False, rule_id)
     ok = not failures.found
     published = ok and after != before
-    audit = {"run_id": run_id, "dataset": dataset, "attempt": _attempt(store, dataset), "status": "SUCCEEDED" if ok else "FAILED", "published": published, "row_count": rows, "before_digest": before, "after_digest": after if ok else before, "failed_rule_ids": failures.sorted(), "error": None, "completed_at_utc": clock}
+    audit = {"run_id": run_id, "dataset": dataset, "attempt": next_attempt(store, dataset), "status": "SUCCEEDED" if ok else "FAILED", "published": published, "row_count": rows, "before_digest": before, "after_digest": after if ok else before, "failed_rule_ids": failures.sorted(), "error": None, "completed_at_utc": clock}
     _commit(store, {dataset: [folder]} if published else {}, audit)
     if published and digest(store.read(dataset), keys) != (rows, after):
         raise RuntimeError(f"{dataset}: what was read back isn't what was written")
@@ -96,12 +97,22 @@ def _commit(store: SnapshotStore, tables: dict[str, list[str]], audit: dict) ->
     store.commit_staged(tables, {"runs": [store.stage("runs", row)]})
 
 
+class RunFailed(RuntimeError):
+    """A stage was not published; ``failed_rule_ids`` says why, ``audited`` whether its run has an audit row already."""
+
+    def __init__(self, dataset: str, failed_rule_ids: list[str], audited: bool = False) -> None:
+        super().__init__(f"{dataset}: {', '.join(failed_rule_ids) or 'rejected rows'}")
+        self.failed_rule_ids, self.audited = failed_rule_ids, audited
+
+
 def audited(store: SnapshotStore, dataset: str, run_id: str, clock: str, work: Callable[[], dict]) -> dict:
-    """Run ``work``; an exception leaves one FAILED audit row and is raised again."""
+    """Run ``work``; an exception leaves one FAILED audit row, with the broken rules if it names any, and is raised again."""
     try:
         return work()
-    except Exception:
-        _commit(store, {}, {"run_id": run_id, "dataset": dataset, "attempt": _attempt(store, dataset), "status": "FAILED", "published": False, "row_count": 0, "before_digest": "", "after_digest": "", "failed_rule_ids": ["UNHANDLED_EXCEPTION"], "error": traceback.format_exc(), "completed_at_utc": clock})
+    except Exception as e:
+        if not getattr(e, "audited", False):
+            failed = getattr(e, "failed_rule_ids", ["UNHANDLED_EXCEPTION"])
+            _commit(store, {}, {"run_id": run_id, "dataset": dataset, "attempt": next_attempt(store, dataset), "status": "FAILED", "published": False, "row_count": 0, "before_digest": "", "after_digest": "", "failed_rule_ids": failed, "error": traceback.format_exc(), "completed_at_utc": clock})
         raise
 
 

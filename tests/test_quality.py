@@ -73,7 +73,7 @@ def test_snapshot_rules(spark):
 
 
 def portfolios(spark, **changes):
-    row = {"portfolio_id": "CORE_LONG", "portfolio_name": "Core", "strategy_code": "LONG_ONLY", "base_currency": "USD", "target_inception_date": "2016-01-04", "actual_inception_date": "2016-01-04", "initial_nav": "1000000.00", "target_long_ratio": "1", "target_short_ratio": "0", "target_gross_ratio": "1", "target_net_ratio": "1", "rebalance_policy": "BUY_AND_HOLD", "cash_policy": "RETAIN", "is_active": "true", "config_version": "1.0.0"} | changes
+    row = {"portfolio_id": "CORE_LONG", "portfolio_name": "Core", "strategy_code": "LONG_ONLY", "base_currency": "USD", "target_inception_date": "2016-01-04", "actual_inception_date": "2016-01-04", "initial_nav": "1000000.00", "target_long_ratio": "1", "target_short_ratio": "0", "target_gross_ratio": "1", "target_net_ratio": "1", "rebalance_policy": "BUY_AND_HOLD", "cash_policy": "RETAIN_DIVIDENDS_NO_INTEREST", "is_active": "true", "config_version": "1.0.0"} | changes
     contract = CONTRACTS["portfolios"]
     import hashlib
 
@@ -86,17 +86,19 @@ def test_portfolio_contract(spark):
     assert portfolios(spark) == []
     assert portfolios(spark, actual_inception_date="") == ["PORTFOLIO_ACTUAL_INCEPTION_DATE_MISSING"]
     assert portfolios(spark, initial_nav="-1") == ["PORTFOLIO_INITIAL_NAV_POSITIVE"]
-    assert portfolios(spark, initial_nav="x") == ["PORTFOLIOS_REQUIRED_FIELDS", "PORTFOLIOS_TYPES_CASTABLE"]
-    assert portfolios(spark, portfolio_id="core") == ["PORTFOLIOS_ID_FORMAT"]
+    assert portfolios(spark, initial_nav="x") == ["PORTFOLIO_REQUIRED_FIELDS", "PORTFOLIO_TYPES_CASTABLE"]
+    assert portfolios(spark, portfolio_id="core") == ["PORTFOLIO_ID_FORMAT"]
     assert portfolios(spark, target_short_ratio="0.3") == ["PORTFOLIO_RATIO_RECONCILIATION", "PORTFOLIO_STRATEGY_TARGETS"]
-    assert portfolios(spark, record_hash="0" * 64) == ["PORTFOLIOS_RECORD_HASH_VALID"]
-    assert portfolios(spark, config_version="1.0") == ["PORTFOLIOS_ID_FORMAT", "PORTFOLIO_CONFIG_VERSION_VALID"]
+    assert portfolios(spark, record_hash="0" * 64) == ["PORTFOLIO_RECORD_HASH_VALID"]
+    assert portfolios(spark, config_version="1.0") == ["PORTFOLIO_CONFIG_VERSION_VALID"]
+    assert portfolios(spark, cash_policy="PAY_OUT") == portfolios(spark, base_currency="EUR") == ["PORTFOLIO_ALLOWED_VALUES"]
+    assert portfolios(spark, strategy_code="SHORT") == ["PORTFOLIO_ALLOWED_VALUES"]
 
 
 def test_price_and_action_rules(spark):
     instruments = spark.createDataFrame([("A_US", "A", "USD", "XNYS", True)], "instrument_id string, yfinance_symbol string, quote_currency string, exchange_mic string, is_active boolean")
     days = spark.sql("select 'XNYS' as exchange_mic, date'2016-01-04' as calendar_date, true as is_trading_day")
-    base = "cast('{i}' as string) instrument_id, date'{d}' price_date, 'YAHOO_FINANCE' source_id, 'A' source_symbol, {o} open_price, {h} high_price, {l} low_price, {c} close_price, {c} adjusted_close_price, {v} volume, '{y}' quote_currency"
+    base = "cast('{i}' as string) instrument_id, date'{d}' price_date, 'YAHOO_FINANCE' source_id, 'A' source_symbol, {o} open_price, {h} high_price, {l} low_price, {c} close_price, {c} adjusted_close_price, {v} volume, '{y}' quote_currency, '1.0.0' contract_version"
     plain = {"i": "A_US", "d": "2016-01-04", "o": 10.0, "h": 11.0, "l": 9.0, "c": 10.5, "v": 5, "y": "USD"}
 
     def broken(**changes):
@@ -107,5 +109,5 @@ def test_price_and_action_rules(spark):
     assert broken(h=10.0) == ["PRICE_OHLC_CONSISTENCY"] and broken(v=0) == ["PRICE_VOLUME_MISSING_OR_ZERO"] and broken(v=-1) == ["PRICE_VOLUME_NEGATIVE"]
     assert broken(d="2016-01-05") == ["PRICE_VALID_SESSION"] and broken(y="EUR") == ["PRICE_SUPPORTED_CURRENCY"]
     assert broken(i="B_US") == ["PRICE_INSTRUMENT_MAPPING", "PRICE_VALID_SESSION"] and broken(l=-1.0) == ["PRICE_POSITIVE_VALUES"]
-    actions = spark.sql("select 'A_US' instrument_id, date'2016-01-04' effective_date, 'YAHOO_FINANCE' source_id, 'A' source_symbol, 'STOCK_SPLIT' action_type, cast(null as decimal(20,8)) dividend_amount_per_share, cast(null as string) dividend_currency, cast(1 as decimal(20,10)) split_ratio")
+    actions = spark.sql("select 'A_US' instrument_id, date'2016-01-04' effective_date, 'YAHOO_FINANCE' source_id, 'A' source_symbol, 'STOCK_SPLIT' action_type, cast(null as decimal(20,8)) dividend_amount_per_share, cast(null as string) dividend_currency, cast(1 as decimal(20,10)) split_ratio, '1.0.0' contract_version")
     assert [r.rule_id for r in violations(D.enriched(actions, instruments, days, "effective_date"), D.action_rules(), ["instrument_id"]).collect()] == ["ACTION_SPLIT_FIELDS"]
