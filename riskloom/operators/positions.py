@@ -39,24 +39,27 @@ def _compounded(acc: Column, ratio: Column) -> Column:
 
 
 def carry_forward(inception: DataFrame, sessions: DataFrame, multipliers: DataFrame) -> DataFrame:
-    """Quantities on every session from inception on: the inception quantity times all splits up to the date.
+    """Quantities on every session from inception on: each day's is that of the day before times the day's splits.
 
-    Each position folds its instrument's splits once into ranges of dates with their running product; the sessions, one
+    Each position folds its instrument's splits once into ranges of dates with their quantity and running product; the sessions, one
     sorted array of the calendar, are then dealt to the ranges. No join compares dates, and nothing loops over them. inception has
     portfolio_id, instrument_id, position_date, signed_quantity; sessions has position_date.
     """
     folded = multipliers.groupBy("instrument_id").agg(F.array_sort(F.collect_list(F.struct("position_date", "split_multiplier"))).alias("__splits"))
     calendar = sessions.agg(F.array_sort(F.collect_set("position_date")).alias("__days"))
     grid = inception.withColumnRenamed("position_date", "inception_date").join(folded, "instrument_id", "left").crossJoin(F.broadcast(calendar))  # one row
-    ranges = f"array<struct<since:date,factor:{SPLIT}>>"
-    first = F.array(F.struct(F.col("inception_date").alias("since"), F.lit(1).cast(SPLIT).alias("factor"))).cast(ranges)
-    own = F.filter(F.coalesce("__splits", F.array().cast("array<struct<position_date:date,split_multiplier:decimal(27,10)>>")), lambda s: s["position_date"] > F.col("inception_date"))
-    steps = F.aggregate(own, first, lambda acc, s: F.concat(acc, F.array(F.struct(s["position_date"].alias("since"), _compounded(F.element_at(acc, -1)["factor"], s["split_multiplier"]).alias("factor")))))
-    grid = grid.withColumn("__steps", steps).select(*[c for c in grid.columns if c != "__splits"], F.posexplode("__steps").alias("__at", "__step"), F.expr("try_element_at(__steps, __at + 2).since").alias("__until"))
+    ranges = f"array<struct<since:date,factor:{SPLIT},quantity:{QUANTITY}>>"
+    first = F.array(F.struct(F.col("inception_date").alias("since"), F.lit(1).cast(SPLIT).alias("factor"), F.col("signed_quantity").try_cast(QUANTITY).alias("quantity"))).cast(ranges)
+    own = F.filter(F.coalesce("__splits", F.array().cast(f"array<struct<position_date:date,split_multiplier:{SPLIT}>>")), lambda s: s["position_date"] > F.col("inception_date"))
+
+    def split(acc: Column, s: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.concat(acc, F.array(F.struct(s["position_date"].alias("since"), _compounded(last["factor"], s["split_multiplier"]).alias("factor"), product(last["quantity"], s["split_multiplier"]).alias("quantity"))))
+
+    grid = grid.withColumn("__steps", F.aggregate(own, first, split)).select(*[c for c in grid.columns if c != "__splits"], F.posexplode("__steps").alias("__at", "__step"), F.expr("try_element_at(__steps, __at + 2).since").alias("__until"))
     here = F.filter("__days", lambda d: (d >= F.col("__step.since")) & (F.col("__until").isNull() | (d < F.col("__until"))))
-    rows = grid.select(*[c for c in grid.columns if not c.startswith("__")], F.col("__step.factor").alias("cumulative_split"), F.explode(here).alias("position_date"))
-    basis = F.when(F.col("position_date") == F.col("inception_date"), "INCEPTION").otherwise("CARRY_FORWARD")
-    return rows.withColumn("carried_quantity", product(F.col("signed_quantity"), F.col("cumulative_split"))).withColumn("basis", basis)
+    rows = grid.select(*[c for c in grid.columns if not c.startswith("__")], F.col("__step.factor").alias("cumulative_split"), F.col("__step.quantity").alias("carried_quantity"), F.explode(here).alias("position_date"))
+    return rows.withColumn("basis", F.when(F.col("position_date") == F.col("inception_date"), "INCEPTION").otherwise("CARRY_FORWARD"))
 
 
 def _complete(dates: DataFrame, key: str, expected: int | DataFrame, date_col: str) -> DataFrame:

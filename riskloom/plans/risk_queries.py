@@ -155,9 +155,10 @@ def split_multipliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CARRIED = f"""{_ACTIONS}, inception AS (SELECT event_type AS portfolio_id, instrument_id, MIN(d) AS inception_date, SUM(v) AS q FROM acts GROUP BY 1, 2), days AS (SELECT DISTINCT d FROM acts),
 grid AS (SELECT i.*, days.d AS position_date FROM inception i JOIN days ON days.d >= i.inception_date),
-factors AS (SELECT g.portfolio_id, g.instrument_id, g.inception_date, g.position_date, g.q, CAST(list_reduce(list_prepend(CAST(1 AS DECIMAL(18,10)), COALESCE(LIST(s.m ORDER BY s.d) FILTER (s.m IS NOT NULL), CAST([] AS DECIMAL(18,10)[]))), lambda a, x: CAST(ROUND(a * x, 10) AS DECIMAL(18,10))) AS DECIMAL(18,10)) AS f
+factors AS (SELECT g.portfolio_id, g.instrument_id, g.inception_date, g.position_date, g.q, CAST(list_reduce(list_prepend(CAST(1 AS DECIMAL(18,10)), COALESCE(LIST(s.m ORDER BY s.d) FILTER (s.m IS NOT NULL), CAST([] AS DECIMAL(18,10)[]))), lambda a, x: CAST(ROUND(a * x, 10) AS DECIMAL(18,10))) AS DECIMAL(18,10)) AS f,
+CAST(list_reduce(list_prepend(CAST(g.q AS DECIMAL(38,16)), COALESCE(LIST(CAST(s.m AS DECIMAL(38,16)) ORDER BY s.d) FILTER (s.m IS NOT NULL), CAST([] AS DECIMAL(38,16)[]))), lambda a, x: CAST(CAST(a AS DECIMAL(20,8)) * CAST(x AS DECIMAL(17,8)) AS DECIMAL(38,16))) AS DECIMAL(38,16)) AS quantity
 FROM grid g LEFT JOIN multipliers s ON s.instrument_id = g.instrument_id AND s.d > g.inception_date AND s.d <= g.position_date GROUP BY 1, 2, 3, 4, 5),
-carried AS (SELECT *, CAST(CAST(q AS DECIMAL(18,2)) * CAST(f AS DECIMAL(17,8)) AS DECIMAL(38,8)) AS quantity FROM factors)"""
+carried AS (SELECT * FROM factors)"""
 
 
 def _carried(spark: SparkSession, sf_dir: str) -> DataFrame:
