@@ -116,3 +116,18 @@ def concentration(values: DataFrame) -> DataFrame:
     total = F.sum(F.abs("signed_market_value")).over(Window.partitionBy("portfolio_id", "valuation_date"))
     weight = F.when(total > 0, F.abs(F.col("signed_market_value")).cast("double") / total.cast("double")).otherwise(0.0)
     return values.withColumn("gross_weight", weight).groupBy("portfolio_id", "valuation_date").agg(F.sum(F.col("gross_weight") * F.col("gross_weight")).alias("hhi"), F.count(F.lit(1)).alias("positions"))
+
+
+def continuous_var(history: DataFrame, navs: DataFrame | None = None, window: int = 1260, least: int = 1000, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """Interpolated VaR of the last ``window`` losses per run and level, and its share of the run's NAV; null below ``least``
+    observations (specified by the reference, superseded there by discrete ranks)."""
+    recent = Window.partitionBy("run_id").orderBy(F.col("scenario_date").desc())
+    rows = history.withColumn("__n", F.row_number().over(recent)).where(F.col("__n") <= window)
+    loss = F.col("loss").cast("double")
+    found = rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("observations"), F.percentile(loss, F.array(*[F.lit(x) for x in levels])).alias("__v"))
+    each = found.select("run_id", "observations", F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in levels]).alias("l"), F.col("__v").alias("v"))).alias("z"))
+    each = each.select("run_id", "observations", F.col("z.l").alias("confidence_level"), F.when(F.col("observations") >= least, F.col("z.v")).alias("var_amount"))
+    if navs is None:
+        return each
+    own = F.col("static_nav").cast("double")
+    return each.join(navs.select("run_id", "static_nav"), "run_id", "left").withColumn("var_share", F.when(own > 0, F.col("var_amount") / own)).drop("static_nav")

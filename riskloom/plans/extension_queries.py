@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riskloom.functions.expr import shown
+from riskloom.functions.expr import castable, shown, try_cast
+from riskloom.operators import guards as G
 from riskloom.operators import risk as R
 from riskloom.operators import snapshot_rules as K
 from riskloom.plans import driver_tables as T
@@ -63,12 +64,44 @@ def bronze_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("is_reconciled", F.col("row_count") == F.col("distinct_records"))
 
 
-@query(f"{T.RISK} SELECT run_id, CAST(COUNT(*) AS BIGINT) AS observations, ROUND(quantile_cont(CAST(loss AS DOUBLE), 0.95), 4) AS var_95, ROUND(quantile_cont(CAST(loss AS DOUBLE), 0.99), 4) AS var_99 FROM scenarios GROUP BY 1")
+@query(
+    f"{T.RISK}, navs AS (SELECT run_id, SUM(market_value) AS nav FROM exposures GROUP BY 1), recent AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY scenario_date DESC) AS n FROM scenarios), "
+    "l AS (SELECT UNNEST([0.95, 0.99]::DOUBLE[]) AS confidence_level), q AS (SELECT run_id, confidence_level, COUNT(*) AS observations, quantile_cont(CAST(loss AS DOUBLE), 0.95) AS v95, quantile_cont(CAST(loss AS DOUBLE), 0.99) AS v99 FROM recent CROSS JOIN l WHERE n <= 20 GROUP BY 1, 2) "
+    "SELECT run_id, CAST(confidence_level AS DOUBLE) AS confidence_level, observations, ROUND(CASE WHEN confidence_level = 0.95 THEN v95 ELSE v99 END, 4) AS var_amount, ROUND(CASE WHEN nav > 0 THEN CASE WHEN confidence_level = 0.95 THEN v95 ELSE v99 END / CAST(nav AS DOUBLE) END, 8) AS var_share FROM q JOIN navs USING (run_id)"
+)
 def continuous_var(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interpolated quantiles, as first specified; the daily run uses discrete ranks."""
-    rows = R.historical_pnl(T.exposures(spark, sf_dir), R.adjusted_returns(T.prices(spark, sf_dir)))
-    loss = F.col("loss").cast("double")
-    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("observations"), F.round(F.percentile(loss, 0.95), 4).alias("var_95"), F.round(F.percentile(loss, 0.99), 4).alias("var_99"))
+    """Interpolated quantiles of the last 20 losses, as the tables have 29 dates."""
+    exposures = T.exposures(spark, sf_dir)
+    rows = R.historical_pnl(exposures, R.adjusted_returns(T.prices(spark, sf_dir)))
+    found = R.continuous_var(rows, exposures.groupBy("run_id").agg(F.sum("market_value").alias("static_nav")), window=20, least=20)
+    return found.select("run_id", "confidence_level", "observations", F.round("var_amount", 4).alias("var_amount"), F.round("var_share", 8).alias("var_share"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'yesterday' ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS raw_ts, epoch(TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'yesterday' ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP))::BIGINT AS seconds, event_id % 7 <> 0 AS is_castable FROM events")
+def timestamp_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as timestamps; what can't be cast is null and reported."""
+    text = F.when(F.col("event_id") % 7 == 0, "yesterday").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    rows = T.table(spark, sf_dir, "events").select("event_id", text.alias("raw_ts")).withColumn("ts", try_cast("raw_ts", "timestamp"))
+    return rows.select("event_id", "raw_ts", F.unix_timestamp("ts").alias("seconds"), castable("raw_ts", "ts").alias("is_castable"))
+
+
+@query("WITH b AS (SELECT event_type AS batch_id, COUNT(*) AS found_rows, COUNT(*) + CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS stated_rows FROM events GROUP BY 1) SELECT batch_id, found_rows, CAST(CASE WHEN batch_id = 'click' THEN 2 ELSE 1 END AS BIGINT) AS audits, CAST(CASE WHEN batch_id = 'click' THEN 2 * stated_rows ELSE stated_rows END AS BIGINT) AS stated_rows, batch_id NOT IN ('error', 'click') AS is_reconciled FROM b")
+def batch_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each batch against its audit row: one batch has a wrong count, another two audit rows."""
+    rows = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("batch_id"))
+    log = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("row_count")).withColumn("status", F.lit("SUCCEEDED"))
+    log = log.withColumn("row_count", F.col("row_count") + F.when(F.col("batch_id") == "error", 1).otherwise(0))
+    return G.single_batch(rows, log.unionByName(log.where("batch_id = 'click'")))
+
+
+@query("SELECT o_custkey AS portfolio_id, COUNT(*) AS runs, CAST(0 AS BIGINT) AS prior_runs, CAST(COALESCE(MAX(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END), -1) AS BIGINT) AS last_finished FROM orders GROUP BY 1")
+def no_prior_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First runs: the frame of prior runs is empty by a constant filter, and missing values get their default."""
+    runs = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("portfolio_id"), "o_orderkey", "o_orderstatus")
+    prior = G.none_of(runs).groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("prior_runs"))
+    last = F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")))
+    found = runs.groupBy("portfolio_id").agg(F.count(F.lit(1)).alias("runs"), F.coalesce(last, F.lit(-1)).cast("bigint").alias("last_finished"))
+    return found.join(prior, "portfolio_id", "left").withColumn("prior_runs", F.coalesce("prior_runs", F.lit(0)).cast("bigint"))
 
 
 @query(
@@ -99,3 +132,11 @@ def register_views(spark: SparkSession, store: SnapshotStore) -> list[str]:
     for name in names:
         store.read(name).createOrReplaceTempView(f"v_{name}")
     return [f"v_{n}" for n in names]
+
+
+def import_view(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
+    """What a report imports of a registered view: all its columns, or the given ones in their order. ValueError if it isn't there."""
+    if not spark.catalog.tableExists(name):
+        raise ValueError(f"no view {name}")
+    view = spark.table(name)
+    return view if columns is None else view.select(*columns)

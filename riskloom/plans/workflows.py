@@ -18,11 +18,13 @@ from riskloom.functions.expr import AMOUNT, record_hash, share
 from riskloom.operators import positions as P
 from riskloom.operators import risk as R
 from riskloom.operators import serving as S
+from riskloom.operators.guards import single_batch
+from riskloom.operators.merge import bag_difference
 from riskloom.operators.calendar import calendar_checks, publish_calendar, trading_calendar
 from riskloom.plans import derived_rules as DR
 from riskloom.plans.pipeline import Failures, Pipeline, RunFailed, RunParameters, audited, publish
 from riskloom.plans.silver import Universe, datasets, ingest, process
-from riskloom.sources.landing import Manifest
+from riskloom.sources.landing import Manifest, one_snapshot
 from riskloom.sources.store import SnapshotStore
 
 POSITION_KEY, CASH_KEY, VALUE_KEY, METRIC_KEY = ["portfolio_id", "instrument_id", "position_date"], ["portfolio_id", "cash_date"], ["portfolio_id", "instrument_id", "valuation_date"], ["portfolio_id", "valuation_date"]
@@ -95,6 +97,65 @@ def market_data(store: SnapshotStore, manifests: Sequence[Manifest], calendar: C
     )
 
 
+def landing_validation(store: SnapshotStore, entries: Sequence[dict], manifests: Sequence[Manifest], clock: str) -> Pipeline:
+    """Provider files: all approved entries must be of one snapshot, then they are ingested."""
+
+    def validate(spark: SparkSession, done: dict) -> str:
+        if any(e.get("publication_status") != "APPROVED" for e in entries):
+            raise RunFailed("landing", ["LANDING_APPROVED"])
+        return one_snapshot(list(entries))
+
+    return Pipeline([("validate_landing", validate), ("ingest_market_data", _bronze(store, manifests, ("daily_prices", "corporate_actions"), clock))])
+
+
+def publication(store: SnapshotStore, batches: dict[str, str], calendar: Calendar, universe: Universe, run_id: str, clock: str) -> Pipeline:
+    """The exchange's calendar, then the prices and the actions of batches that were ingested before."""
+    stages = [("publish_exchange_calendar", _calendar(store, calendar, clock)), ("batches", lambda spark, done: batches)]
+    return Pipeline(stages + [(f"process_{n}", _silver(store, universe, n, "batches", run_id, clock)) for n in ("daily_prices", "corporate_actions")])
+
+
+def reconciliation(store: SnapshotStore, universe: Universe) -> Pipeline:
+    """Source-aligned rows against their audit rows; prices of every instrument on equally many dates."""
+
+    def reconcile(spark: SparkSession, done: dict) -> dict:
+        log, failed = store.read("ingestion_batches"), []
+        for name in ("daily_prices", "corporate_actions"):
+            rows = store.read(f"bronze_{name}")
+            if not single_batch(rows, log.where(F.col("dataset_name") == name)).where("not is_reconciled").isEmpty():
+                failed.append(f"BRONZE_{name.upper()}_RECONCILED")
+        dates = store.read("bronze_daily_prices").groupBy("instrument_id").agg(F.count_distinct("price_date").alias("dates"))
+        spread = dates.agg(F.count(F.lit(1)).alias("instruments"), F.min("dates").alias("least"), F.max("dates").alias("most")).first()  # one row
+        if spread["instruments"] != universe.instruments or spread["least"] != spread["most"]:
+            failed.append("BRONZE_INSTRUMENT_DATES")
+        if failed:
+            raise RunFailed("bronze", failed)
+        return spread.asDict()
+
+    return Pipeline([("reconcile_bronze", reconcile)])
+
+
+def admission(store: SnapshotStore) -> Pipeline:
+    """Published prices have exactly their exchange's sessions, and actions fall on sessions."""
+
+    def admit(spark: SparkSession, done: dict) -> dict:
+        mics = store.read("silver_instruments").where("is_active").select("instrument_id", "exchange_mic")
+        sessions = store.read("silver_trading_calendar").where("is_trading_day").select("exchange_mic", F.col("calendar_date").alias("price_date"))
+        prices = store.read("silver_daily_prices").join(mics, "instrument_id").select("instrument_id", "exchange_mic", "price_date")
+        bounds = prices.agg(F.min("price_date").alias("lo"), F.max("price_date").alias("hi"))
+        due = mics.join(sessions.crossJoin(F.broadcast(bounds)).where("price_date between lo and hi").drop("lo", "hi"), "exchange_mic").select("instrument_id", "exchange_mic", "price_date")  # one row of bounds
+        actions = store.read("silver_corporate_actions").join(mics, "instrument_id").select("exchange_mic", F.col("effective_date").alias("price_date"))
+        checks = {
+            "PRICES_ARE_SESSIONS": bag_difference(prices, due).first()["is_equal"],
+            "ACTIONS_IN_SESSIONS": actions.join(sessions, ["exchange_mic", "price_date"], "left_anti").isEmpty(),
+        }
+        failed = sorted(k for k, ok in checks.items() if not ok)
+        if failed:
+            raise RunFailed("silver", failed)
+        return checks
+
+    return Pipeline([("admit_silver", admit)])
+
+
 @dataclass(frozen=True)
 class _Inputs:
     """What the derived datasets of a run are computed from, up to the as-of date."""

@@ -12,6 +12,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 POINTER, LOCK = "current.json", "lock"
 
@@ -53,6 +54,33 @@ class SnapshotStore:
     def read_folders(self, folders: list[str]) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.root}/{f}" for f in folders])
 
+    def create(self, table: str, schema: StructType) -> bool:
+        """An empty table of this schema unless it is there already; whether it was made. ValueError if it is there with other columns."""
+        if self.exists(table):
+            have = [(f.name, f.dataType) for f in self.read(table).schema]
+            if have != [(f.name, f.dataType) for f in schema]:
+                raise ValueError(f"{table} has other columns")
+            return False
+        self.commit({table: self.spark.createDataFrame([], schema)})
+        return True
+
+    def catalog(self) -> DataFrame:
+        """One row a table: table_name, folders, files, bytes, columns, changed_at (of its newest folder)."""
+        rows = []
+        for name, folders in sorted(self.versions().items()):
+            files = [f for folder in folders for f in self._fs.listStatus(self._path(f"{self.root}/{folder}")) if f.getPath().getName().startswith("part-")]
+            changed = max(self._fs.getFileStatus(self._path(f"{self.root}/{f}")).getModificationTime() for f in folders)
+            rows.append((name, len(folders), len(files), sum(f.getLen() for f in files), [f"{n} {t}" for n, t in self.read_folders(folders).dtypes], changed / 1000))
+        return self.spark.createDataFrame(rows, "table_name string, folders int, files int, bytes long, columns array<string>, changed_at double")
+
+    def history(self, table: str) -> DataFrame:
+        """One row a folder of the table that still exists: folder, is_current, changed_at; the newest first."""
+        current = set(self.versions().get(table, []))
+        base = self._path(f"{self.root}/{table}")
+        found = self._fs.listStatus(base) if self._fs.exists(base) else []
+        rows = [(f"{table}/{x.getPath().getName()}", f"{table}/{x.getPath().getName()}" in current, x.getModificationTime() / 1000) for x in found]
+        return self.spark.createDataFrame(sorted(rows, key=lambda r: (-r[2], r[0])), "folder string, is_current boolean, changed_at double")
+
     def stage(self, table: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
         """Write a frame to a folder of its own, which no reader sees before it is committed."""
         folder = f"{table}/v={uuid.uuid4().hex}"

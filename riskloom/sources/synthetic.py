@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import datetime as dt
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.functions.expr import record_hash
+
 
 def basis_points(seed: str, label: Column, most: int) -> Column:
     """A whole number from -most to most, from the first eight hex digits of sha256(seed|label)."""
@@ -30,3 +35,26 @@ def price_paths(instruments: DataFrame, dates: DataFrame, seed: str, market: int
 
     folded = paths.withColumn("prices", F.aggregate("s", start, step, lambda acc: acc["all"]))
     return folded.select("instrument_id", F.inline(F.arrays_zip("s", "prices"))).select("instrument_id", F.col("s.price_date").alias("price_date"), F.col("s.bp").alias("return_bp"), F.col("prices").alias("close_price"))
+
+
+def scenario_actions(spark: SparkSession, events: list[dict], source_id: str = "PROJECT_GIT_FIXTURE") -> DataFrame:
+    """Corporate actions of a scenario, in the canonical form, ordered by instrument, date and kind.
+
+    Each event gives instrument_id, effective_date, symbol and either dividend or split, as texts. ValueError where both or neither
+    are given, for amounts that aren't positive, and for a split of 1.
+    """
+    rows = []
+    for e in events:
+        dividend, split = e.get("dividend"), e.get("split")
+        if (dividend is None) == (split is None):
+            raise ValueError(f"{e['instrument_id']}: either a dividend or a split")
+        amount = Decimal(dividend if split is None else split)
+        if amount <= 0 or (split is not None and amount == 1):
+            raise ValueError(f"{e['instrument_id']}: not an amount: {amount}")
+        kind = "CASH_DIVIDEND" if split is None else "STOCK_SPLIT"
+        rows.append((e["instrument_id"], dt.date.fromisoformat(e["effective_date"]), kind, source_id, e["symbol"], amount if split is None else None, "USD" if split is None else None, None if split is None else amount))
+    rows.sort(key=lambda r: r[:3])
+    schema = "instrument_id string, effective_date date, action_type string, source_id string, source_symbol string, dividend_amount_per_share decimal(20,8), dividend_currency string, split_ratio decimal(20,10)"
+    out = spark.createDataFrame(rows, schema)
+    record = F.concat_ws(":", "source_id", "instrument_id", F.col("effective_date").cast("string"), "action_type")
+    return out.withColumn("source_record_id", record).withColumn("record_hash", record_hash(out.columns))

@@ -157,3 +157,10 @@ def test_calendar_does_not_depend_on_the_session_zone(spark):
         assert at() == utc == {1451917800}
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_continuous_var(spark):
+    history = spark.createDataFrame([("r", d(0) + dt.timedelta(days=k), Decimal(k)) for k in range(30)] + [("s", d(0), Decimal(1))], "run_id string, scenario_date date, loss decimal(38,18)")
+    navs = spark.createDataFrame([("r", Decimal(200))], "run_id string, static_nav decimal(38,6)")
+    got = {(r.run_id, r.confidence_level): (r.observations, r.var_amount, r.var_share) for r in R.continuous_var(history, navs, window=21, least=20).collect()}
+    assert got["s", 0.95] == (1, None, None) and got["r", 0.95] == (21, 28.0, 0.14) and abs(got["r", 0.99][1] - 28.8) < 1e-9

@@ -99,3 +99,55 @@ def test_pipeline_and_parameters(spark):
     for bad in (("core", "2016-12-30", "abcdef1"), ("CORE", "2016-2-30", "abcdef1"), ("CORE", "2016-12-30", "xyz"), ("CORE", "2016-12-30", "abcdef1", "NOW")):
         with pytest.raises(ValueError):
             RunParameters(*bad)
+
+
+def test_tables_are_created_once_and_listed(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    schema = StructType([StructField("k", LongType()), StructField("v", StringType())])
+    assert store.create("t", schema) and not store.create("t", schema) and store.read("t").count() == 0
+    with pytest.raises(ValueError):
+        store.create("t", StructType([StructField("k", StringType())]))
+    store.append("t", spark.createDataFrame([(1, "a")], schema))
+    (row,) = store.catalog().collect()
+    assert (row.table_name, row.folders, row["columns"]) == ("t", 2, ["k bigint", "v string"]) and row.bytes > 0
+    store.compact("t")
+    assert [r.is_current for r in store.history("t").collect()].count(True) == 1 and store.history("t").count() == 3 and store.history("none").count() == 0
+
+
+def test_scenario_actions(spark):
+    from riskloom.sources.synthetic import scenario_actions
+
+    rows = scenario_actions(spark, [{"instrument_id": "B", "effective_date": "2016-01-07", "symbol": "b", "split": "2"}, {"instrument_id": "A", "effective_date": "2016-01-06", "symbol": "a", "dividend": "1.5"}])
+    assert sorted((r.instrument_id, r.action_type, r.dividend_currency) for r in rows.collect()) == [("A", "CASH_DIVIDEND", "USD"), ("B", "STOCK_SPLIT", None)] and len({r.record_hash for r in rows.collect()}) == 2
+    for bad in ({"dividend": "1", "split": "2"}, {}, {"split": "1"}, {"dividend": "0"}):
+        with pytest.raises(ValueError):
+            scenario_actions(spark, [{"instrument_id": "A", "effective_date": "2016-01-06", "symbol": "a", **bad}])
+
+
+def test_guards_and_settings(spark, tmp_path, monkeypatch, capsys):
+    from riskloom.operators.guards import Overflow, bounded, none_of, single_batch, value_or
+    from riskloom.plans.extension_queries import import_view, register_views
+    from riskloom.plans.settings import Settings, diagnose, main, session_smoke
+
+    rows = spark.range(10)
+    assert len(bounded(rows, 10)[0]) == 10 and bounded(rows, 9, strict=False)[1] is False and len(bounded(rows, 9, strict=False)[0]) == 9
+    with pytest.raises(Overflow):
+        bounded(rows, 9)
+    empty = none_of(rows)
+    assert empty.count() == 0 and "LocalRelation <empty>" in empty._jdf.queryExecution().optimizedPlan().toString()
+    assert value_or(empty, F.sum("id"), 7).first().value == 7 and value_or(rows, F.sum("id"), 7).first().value == 45
+    log = spark.createDataFrame([("b", "SUCCEEDED", 2), ("c", "SUCCEEDED", 1), ("d", "FAILED", 1)], "batch_id string, status string, row_count long")
+    found = single_batch(spark.createDataFrame([("b",), ("b",), ("d",)], "batch_id string"), log)
+    assert {r.batch_id: r.is_reconciled for r in found.collect()} == {"b": True, "c": False, "d": False}
+    monkeypatch.setenv("RISKLOOM_STORE", "s3a://bucket/x")
+    assert Settings.from_environment(tmp_path) == Settings("local", "s3a://bucket/x")
+    monkeypatch.delenv("RISKLOOM_STORE")
+    assert Settings.from_environment(tmp_path).store == str((tmp_path / "store").resolve()) and all(c.passed for c in diagnose(tmp_path))
+    assert session_smoke(spark).first().two == 2 and main(["--spark"]) == 0 and "[PASS] Session" in capsys.readouterr().out
+    store = SnapshotStore(spark, str(tmp_path / "views"))
+    store.commit({"t": spark.range(3)})
+    assert register_views(spark, store) == ["v_t"] and import_view(spark, "v_t", ["id"]).count() == 3
+    with pytest.raises(ValueError):
+        import_view(spark, "v_none")

@@ -155,3 +155,24 @@ def test_a_missing_price_fails_the_run(spark, year, run, tmp_path):  # noqa: F81
     assert failed.value.failed_rule_ids == ["PRICE_EXPECTED_DATE_GRID"]
     runs = store.read("runs").where("dataset = 'silver_daily_prices'").collect()
     assert [(r.status, r.failed_rule_ids) for r in runs] == [("FAILED", ["PRICE_EXPECTED_DATE_GRID"])] and not store.exists("silver_daily_prices") and not store.exists("silver_positions")
+
+
+def test_provider_runs(spark, year, tmp_path):  # noqa: F811
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    manifests = [landed(tmp_path, c, rows) for c, rows in (reference_rows() | market_rows(year.where("price_date <= '2016-01-08'").collect())).items()]
+    clock = "2017-01-06T00:00:00"
+    W.initialization(store, manifests, Universe(), "init", clock).run(spark)
+    entries = [{"dataset_name": m.dataset_name, "publication_status": "APPROVED", "snapshot_sha256": "s1"} for m in manifests[-2:]]
+    with pytest.raises(W.RunFailed):
+        W.landing_validation(store, [entries[0] | {"publication_status": "PENDING"}], manifests, clock).run(spark)
+    with pytest.raises(ValueError):
+        W.landing_validation(store, [entries[0], entries[1] | {"snapshot_sha256": "s2"}], manifests, clock).run(spark)
+    batches = W.landing_validation(store, entries, manifests, clock).run(spark)["ingest_market_data"]
+    assert W.reconciliation(store, Universe()).run(spark)["reconcile_bronze"] == {"instruments": 15, "least": 5, "most": 5}
+    W.publication(store, batches, CALENDAR, Universe(), "pub", clock).run(spark)
+    assert W.admission(store).run(spark)["admit_silver"] == {"PRICES_ARE_SESSIONS": True, "ACTIONS_IN_SESSIONS": True}
+    with pytest.raises(W.RunFailed, match="BRONZE_INSTRUMENT_DATES"):
+        W.reconciliation(store, Universe(instruments=14)).run(spark)
+    store.commit({"silver_daily_prices": store.read("silver_daily_prices").where("price_date <> '2016-01-06'")})
+    with pytest.raises(W.RunFailed, match="PRICES_ARE_SESSIONS"):
+        W.admission(store).run(spark)
