@@ -93,8 +93,11 @@ def price_lineage(scenarios: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def expected_grid_missing(left: DataFrame, right: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of the two small dimension tables that ``actual`` lacks."""
-    return left.crossJoin(right).join(actual.select(*keys).distinct(), keys, "left_anti")
+    """Pairs of ``left`` and the dimension ``right`` that ``actual`` lacks. ``right`` (dates, as a rule) becomes one row with an
+    array, which every row of ``left`` explodes, so the left side may be as large as it likes."""
+    members = right.agg(F.collect_set(F.struct(*right.columns)).alias("__members"))
+    grid = left.crossJoin(F.broadcast(members)).select(*left.columns, F.inline("__members"))  # one row
+    return grid.join(actual.select(*keys).distinct(), keys, "left_anti")
 
 
 def rolling_volatility(returns: DataFrame, window: int = 252, annual: int = 252) -> DataFrame:

@@ -208,7 +208,7 @@ def daily_metric_rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
             "base_currency": F.when(n == 4, "EUR").otherwise("USD"),
             "position_count": F.col("position_count") + F.when(n == 5, 1).otherwise(0),
             "gross_value": plus("gross_value", 6),
-            "daily_return": F.col("daily_return") + F.when(n == 7, 1).otherwise(0),
+            "daily_return": (F.col("daily_return").cast("decimal(30,18)") + F.when(n == 7, 1).otherwise(0)).cast("decimal(38,18)"),
             "record_hash": F.lit("x"),
             "computed_hash": F.when(n == 9, "y").otherwise("x"),
         }

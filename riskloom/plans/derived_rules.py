@@ -153,7 +153,8 @@ def daily_metric_violations(metrics: DataFrame, values: DataFrame, cash: DataFra
     money = lambda c: F.col(c).cast(AMOUNT)
     baseline = F.coalesce(F.col("prior_nav"), F.col("initial_nav"), F.col("nav")).cast(AMOUNT)
     limit = F.lit(RATIO_TOLERANCE).cast("decimal(38,18)")
-    off = lambda c, a, b: F.abs(F.col(c) - share(F.col(a), F.col(b))) > limit
+    exact = lambda c: c.try_cast("decimal(36,18)")  # noqa: E731  # differences of (38,18) would lose the last digit
+    off = lambda c, a, b: F.coalesce(F.abs(exact(F.col(c)) - exact(share(F.col(a), F.col(b)))) > limit, F.lit(True))
     ratios = reduce(lambda x, y: x | y, [off(f"{n}_ratio", f"{n}_value", "nav") for n in ("long", "short", "gross", "net")])
     counts = F.col("position_count") != F.col("n")
     rules = [

@@ -111,3 +111,35 @@ def test_price_and_action_rules(spark):
     assert broken(i="B_US") == ["PRICE_INSTRUMENT_MAPPING", "PRICE_VALID_SESSION"] and broken(l=-1.0) == ["PRICE_POSITIVE_VALUES"]
     actions = spark.sql("select 'A_US' instrument_id, date'2016-01-04' effective_date, 'YAHOO_FINANCE' source_id, 'A' source_symbol, 'STOCK_SPLIT' action_type, cast(null as decimal(20,8)) dividend_amount_per_share, cast(null as string) dividend_currency, cast(1 as decimal(20,10)) split_ratio, '1.0.0' contract_version")
     assert [r.rule_id for r in violations(D.enriched(actions, instruments, days, "effective_date"), D.action_rules(), ["instrument_id"]).collect()] == ["ACTION_SPLIT_FIELDS"]
+
+
+def test_rules_of_metrics_and_risk(spark):
+    import datetime as dt
+    from decimal import Decimal as X
+
+    from riskloom.operators import positions as P
+    from riskloom.operators import risk as R
+    from riskloom.plans import derived_rules as DR
+
+    day = lambda k: dt.date(2020, 1, 1) + dt.timedelta(days=k)
+    values = spark.createDataFrame([("p", day(k), X(v)) for k, v in ((0, 70), (0, -30), (1, 80), (1, -20))], "portfolio_id string, valuation_date date, signed_market_value decimal(38,6)")
+    cash = spark.createDataFrame([("p", day(0), X(60)), ("p", day(1), X(61))], "portfolio_id string, valuation_date date, closing_cash decimal(32,6)")
+    initial = spark.createDataFrame([("p", None, "USD")], "portfolio_id string, initial_nav decimal(32,6), base_currency string")
+    metrics = P.daily_metrics(values, cash).withColumns({"base_currency": F.lit("USD"), "record_hash": F.lit("x"), "computed_hash": F.lit("x")})
+    broken = lambda df: sorted((r.valuation_date, r.rule_id) for r in DR.daily_metric_violations(df, values, cash, initial, 2).collect())
+    assert broken(metrics) == []
+    off = metrics.withColumn("gross_ratio", (F.col("gross_ratio").cast("decimal(36,18)") + F.when(F.col("valuation_date") == day(1), F.lit("0.000000000000000002")).otherwise("0").cast("decimal(36,18)")).cast("decimal(38,18)"))
+    assert broken(off) == [(day(1), "PORTFOLIO_DAILY_EXPOSURE_RATIOS_RECONCILE")]
+    assert broken(metrics.unionByName(metrics.where(F.col("valuation_date") == day(1))))[0] == (day(1), "PORTFOLIO_DAILY_BASELINE_RECONCILES")
+
+    exposures = spark.createDataFrame([("r", "A", X(100)), ("r", "B", X(-50))], "run_id string, instrument_id string, market_value decimal(23,6)")
+    returns = spark.createDataFrame([(i, day(k), day(k - 1), X(k) / 100 * s) for k in range(1, 21) for i, s in (("A", 1), ("B", -1))], "instrument_id string, scenario_date date, prior_date date, simple_return decimal(14,12)")
+    components = R.component_pnl(exposures, returns)
+    scenarios = R.price_scenarios(components)
+    shocks = spark.createDataFrame([("BROAD", i, X("-0.1")) for i in "AB"], "scenario_id string, instrument_id string, shock_ratio decimal(12,10)")
+    navs = spark.createDataFrame([("r", X(60))], "run_id string, static_nav decimal(38,18)")
+    found = lambda e=exposures, s=shocks, n=20, k=2, base="-0.1", c=components: sorted({r.rule_id for r in DR.risk_violations(scenarios, R.discrete_var(scenarios), R.stress(exposures, shocks, navs), c.drop("prior_date"), e, s, navs, n, k, ("BROAD",), ("BROAD", base)).collect()})
+    assert found() == []
+    assert found(n=21) == ["HISTORICAL_PNL_SCENARIO_COUNT_COMPLETE"] and found(base="-0.2") == ["STRESS_BROAD_MARKET_BASELINE"]
+    assert found(e=exposures.withColumn("market_value", F.when(F.col("instrument_id") == "A", F.col("market_value")))) == ["RISK_RUN_STATIC_EXPOSURE_REPRICE_COMPLETE", "STRESS_RESULT_FORMULA_RECONCILES"]
+    assert "RISK_RUN_PRICE_HISTORY_COVERAGE_COMPLETE" in found(c=components.where(F.col("instrument_id") == "A")) and "RISK_RUN_STATIC_EXPOSURE_INSTRUMENT_COVERAGE" in found(k=3)
