@@ -1,4 +1,11 @@
-"""A corpus pipeline of five stages; each reads the Parquet table that the one before has written."""
+"""A corpus pipeline of five stages; each reads the Parquet table that the one before has written.
+
+What stages do with unusual rows: documents without any letter (null and empty texts among them) go in the first stage, where nothing
+else goes. A document without an id is told apart by its text: of equal texts without ids one stays, and none if a document
+with an id has that text; rows that repeat an id and a text are one document. Of a class of near copies the document with the
+smallest id stays. Very long texts are read whole by every stage. Extra columns are carried along whatever their names (the
+last stage replaces columns named like its own three). An empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 

@@ -61,3 +61,72 @@ def test_one_row_of_each_group_of_copies_stays(spark, make_docs):
     found = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
     assert [x for x in found if x[1]] == sorted([(1, a), (None, b), (3, c), (4, d), (4, e)], key=str)
     assert len(found) == 8  # and the three without words
+
+
+def test_stages_equal_brute_force(spark, make_docs):
+    """Every stage on its own input against another computation."""
+    from test_decontam import brute as leaks
+    from test_jaccard import brute as classes
+
+    from riskloom.llm.decontam import Rules
+    from riskloom.llm.mixing import plan
+    from riskloom.llm.sharding import shard
+
+    rng = random.Random(8)
+    vocabulary = {"en": [f"th{k}e" for k in range(200)], "de": [f"sch{k}\u00df" for k in range(200)]}
+    text = lambda lang, n: rng.choices(vocabulary[lang], k=n)
+    items = [(k, " ".join(text("en", rng.randrange(14, 40))) + ". " + " ".join(text("en", 8)) + ".") for k in range(8)]
+    rows = []
+    for i in range(90):
+        own = text(("en", "de")[i % 2], rng.randrange(15, 90))
+        if i % 10 == 1:
+            own = [*own[:6], *items[i % 8][1].split(), *own[6:]]
+        rows.append((i, " ".join(own), ("en", "de")[i % 2], f"s{i % 3}"))
+        if i % 6 == 0:  # near copies, some of them too far away
+            for k in range(3):
+                changed = list(own)
+                changed[rng.randrange(len(own))] = f"n{k}"
+                rows.append((1000 + 10 * i + k, " ".join(changed), "en", "s1"))
+    rows += [(5000, None, "en", "s0"), (5001, "12 34", "en", None), (5002, "", None, "s0")]
+    docs, stages = make_docs(rows, extra=False), dict(corpus_pipeline.STAGES)
+    import tempfile
+
+    sf_dir = tempfile.mkdtemp()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf_dir}/benchmark.parquet")
+    held = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    after = stages["language_id"](spark, docs, sf_dir)
+    expected = sorted((i, t) for i, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    assert held(after) == expected
+    after = stages["ngram_jaccard"](spark, after, sf_dir)
+    roots = classes(expected)
+    expected = [(i, t) for i, t in expected if roots[i] == i]
+    assert held(after) == expected and len(expected) < len(roots)
+    after = stages["decontamination"](spark, after, sf_dir)
+    bad = {d for d, _ in leaks(expected, items, Rules())}
+    expected = [(i, t) for i, t in expected if i not in bad]
+    assert held(after) == expected and len(bad) >= 5
+    copies = {r.doc_id: r.copies for r in plan(after).collect()}
+    after = stages["mixing"](spark, after, sf_dir)
+    expected = sorted((i, t) for i, t in expected for _ in range(copies[i]))
+    assert held(after) == expected
+    last = stages["sharding"](spark, after, sf_dir)
+    assert held(last) == expected
+    by_id = lambda df: sorted({(r.doc_id, r.shard, r.grown_shard) for r in df.collect()})
+    assert by_id(last) == by_id(shard(after))
+
+
+def test_unusual_rows_in_every_stage(spark, make_docs, mixed_rows, sf_dir):
+    for rows in (mixed_rows, [], [(None, None, None, None)] * 3, [(1, "same text here", "en", "s")] * 4):
+        docs = make_docs(rows)  # with columns whose names clash with the operators' own
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf_dir)
+            if name == "sharding":
+                assert set(out.columns) == {*docs.columns, "shard", "slot", "grown_shard"} and out.count() == len(rows)
+                continue
+            assert out.columns == docs.columns
+            got = [r.text for r in out.select("text").collect()]
+            assert set(got) <= {r[1] for r in rows}
+            if name == "language_id":
+                assert len(got) == sum(any(c.isalpha() for c in r[1] or "") for r in rows)
+    nothing = make_docs([(i, "some words", None, "s") for i in range(3)] + [(9, "12", None, "s")], extra=False)
+    assert sorted(r.doc_id for r in corpus_pipeline.identify_language(spark, nothing, sf_dir).collect()) == [0, 1, 2]
