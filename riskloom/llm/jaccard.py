@@ -39,7 +39,7 @@ from riskloom.llm.common import attach, release, stash
 WIDTH = 5
 #: Bits of a shingle's hash that lists are told apart by.
 KEY_BITS = 46
-_CHUNK_DOCS, _CHUNK_BYTES = 2048, 8 << 20
+_CHUNK_DOCS, _CHUNK_BYTES = 2048, 4 << 20
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, dtype=bool)
