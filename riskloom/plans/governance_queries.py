@@ -487,9 +487,19 @@ def synthetic_basis_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("instrument_id", F.col("calendar_date").cast("string").alias("price_date"), basis_points("seed-1", F.concat(F.lit("INSTRUMENT|"), "instrument_id", F.lit("|"), F.col("calendar_date").cast("string")), 35).alias("bp"))
 
 
-@query()
+def _points(label: str, most: int) -> str:
+    return f"CAST('0x' || substr(sha256('seed-1|' || {label}), 1, 8) AS BIGINT) % {2 * most + 1} - {most}"
+
+
+@query(
+    "WITH i AS (SELECT p_brand AS instrument_id, MAX(CAST(p_retailprice AS DECIMAL(18,2))) AS anchor FROM part GROUP BY 1), d AS (SELECT d, date_diff('day', DATE '2016-01-10', d) AS n, CAST(d AS VARCHAR) AS day FROM (SELECT CAST(UNNEST(generate_series(DATE '2016-01-11', DATE '2016-12-30', INTERVAL 1 DAY)) AS DATE) AS d) WHERE dayofweek(d) NOT IN (0, 6)), "
+    f"s AS (SELECT instrument_id, anchor, d, CASE WHEN n % 29 = 0 THEN 0 ELSE {_points(chr(39) + 'MARKET|' + chr(39) + ' || day', 120)} + {_points(chr(39) + 'CLUSTER|C1|' + chr(39) + ' || day', 55)} + {_points(chr(39) + 'INSTRUMENT|' + chr(39) + ' || instrument_id || ' + chr(39) + '|' + chr(39) + ' || day', 35)} END AS bp FROM i CROSS JOIN d), "
+    "f AS (SELECT *, LIST(CAST((10000 + bp) / 10000.0 AS DECIMAL(20,8))) OVER (PARTITION BY instrument_id ORDER BY d) AS steps FROM s) "
+    "SELECT instrument_id, CAST(d AS VARCHAR) AS price_date, bp AS return_bp, CAST(list_reduce(list_prepend(CAST(anchor AS DECIMAL(20,8)), steps), lambda a, x: CAST(ROUND(a * x, 8) AS DECIMAL(20,8))) AS VARCHAR) AS close_price FROM f"
+)
 def deterministic_price_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequentially rounded fold; tests hold it against exact decimal arithmetic."""
+    """A sequentially rounded fold."""
     parts = T.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("instrument_id"), F.lit("C1").alias("cluster_id")).agg(F.max(F.col("p_retailprice").cast("decimal(18,2)")).alias("anchor_price"))
     dates = date_spine(spark, "2016-01-11", "2016-12-30").where(F.dayofweek("calendar_date").between(2, 6)).select(F.col("calendar_date").alias("price_date"), (F.datediff("calendar_date", F.lit("2016-01-10"))).alias("date_index"))
-    return price_paths(parts, dates, "seed-1")
+    rows = price_paths(parts, dates, "seed-1")
+    return rows.select("instrument_id", F.col("price_date").cast("string").alias("price_date"), "return_bp", F.col("close_price").cast("string").alias("close_price"))
