@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import zipfile
@@ -60,14 +62,26 @@ def held(kind: str, key: Hashable, make: Callable[[], object]) -> object:
     Workers outlive their tasks; one model at a time is all that they hold between them.
     """
     if kind not in _HELD or _HELD[kind][0] != key:
-        _HELD.clear()
+        release()
         _HELD[kind] = (key, make())
+        _give_back()
     return _HELD[kind][1]
 
 
 def release() -> None:
     """Drop the model that this Python worker holds."""
     _HELD.clear()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can: workers outlive their tasks, and building a model or hashing
+    a chunk leaves much of it behind."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batch: pa.RecordBatch, at: int, rows: int = 1024, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:

@@ -202,6 +202,7 @@ def _pack(bits: int, width: int):
                 ],
                 names=["chunk", "bucket", "docs", "owners", "lows", "highs"],
             )
+        release()
 
     return pack
 
